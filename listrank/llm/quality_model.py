@@ -15,22 +15,18 @@ KEEP_FROM = 0.5
 SITE_WEIGHT = 0.5
 #: Rows of the site table up to which it is broadcast.
 BROADCAST_ROWS = 50_000
-FEATURES = ("log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "distinct_share", "same_as_last_share", "dup_line_share", "long_word_share")
+FEATURES = ("log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "distinct_share", "dup_line_share")
 
 
-def features(text: Column) -> list[Column]:
-    """Shares and lengths that tell prose from junk; an empty text has zeros."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(t), SPACES), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    lines = F.split(t, "\n")
-    same = F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.equal_null(a, b)), lambda x: x))
-    return [
-        F.log1p(F.size(words)), (F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))) / n, F.regexp_count(t, F.lit(r"[#*$%&|<>^~_{}=+\[\]\\/@]")) / chars,
-        F.regexp_count(t, F.lit("[A-Z]")) / chars, F.regexp_count(t, F.lit("[0-9]")) / chars, F.regexp_count(t, F.lit("[!?]")) / chars,
-        F.size(F.array_distinct(words)) / n, same / n, 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)), F.size(F.filter(words, lambda w: F.length(w) > 20)) / n,
-    ]
+def with_features(docs: DataFrame, name: str) -> DataFrame:
+    """Adds an array of shares and lengths that tell prose from junk; an empty text has zeros. Words are lower-cased and
+    parted once; characters other than a-z and blanks are counted in what is left without these."""
+    t = F.coalesce("text", F.lit(""))
+    parts = docs.withColumn("_w", F.filter(F.split(F.lower(t), SPACES), lambda w: w != "")).withColumn("_r", F.regexp_replace(t, "[a-z ]+", "")).withColumn("_l", F.split(t, "\n"))
+    n, chars = F.greatest(F.size("_w"), F.lit(1)).cast("double"), F.greatest(F.length(t), F.lit(1)).cast("double")
+    share = [F.regexp_count("_r", F.lit(p)) / chars for p in (r"[#*$%&|<>^~_{}=+\[\]\\/@]", "[A-Z]", "[0-9]", "[!?]")]
+    values = [F.log1p(F.size("_w")), F.length(F.array_join("_w", "")) / n, *share, F.size(F.array_distinct("_w")) / n, 1 - F.size(F.array_distinct("_l")) / F.greatest(F.size("_l"), F.lit(1))]
+    return parts.withColumn(name, F.array(*[v.cast("double") for v in values])).drop("_w", "_r", "_l")
 
 
 class LogisticModel:
@@ -73,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Logis
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    rows = rows.select(F.array(*features(F.col("text"))).alias("x"), "quality").limit(2 * fit_rows).toArrow()
+    rows = with_features(rows, "x").select("x", "quality").limit(2 * fit_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(rows["quality"].to_pylist(), float).round())
 
@@ -115,8 +111,8 @@ def classify(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     site and path. Null and empty texts have the features of nothing; null sites and paths are groups of their own; all
     rows and columns stay, repeated rows too; an empty table stays empty."""
     model = train(docs, labels, fit_rows)
-    p = 1 / (1 + F.exp(-model.logit(F.array(*features(F.col("text"))))))
-    rows = docs.drop("quality").withColumn("_p", p)
+    rows = with_features(docs.drop("quality"), "_x")
+    rows = rows.withColumn("_p", 1 / (1 + F.exp(-model.logit(F.col("_x"))))).drop("_x")
     sites = cut(score_sites(rows.select(F.col(site).alias("site"), F.col(path).alias("path"), F.col("_p").alias("p"))))
     names = {c: f"_{c}" for c in sites.columns}
     sites = sites.withColumnsRenamed(names)

@@ -11,7 +11,7 @@ LEAST_WORDS = 50
 #: A histogram of fewer words or characters than its guard is not held against the reference.
 LEAST_WORDS_COMMON, LEAST_CHARS = 100, 200
 #: Distances (square roots of base-2 divergences) beyond which a document goes.
-CHAR_LIMIT, WORD_LIMIT = 0.28, 0.45
+CHAR_LIMIT, WORD_LIMIT = 0.30, 0.27
 #: The most common words of some languages.
 COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "was", "for", "on"),
@@ -65,27 +65,34 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = F.when(n >= 3, F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
     df = df.withColumn("_h", F.coalesce(windows, F.array().cast("array<bigint>")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(SPACE_WORD))
-    space, upper, digit = _count(F.col("_t"), r"[\x20\x09-\x0D]"), _count(F.col("_t"), "[A-Z]"), _count(F.col("_t"), "[0-9]")
-    stop, symbol, beyond = _count(F.col("_t"), r"[.,;:!?'\"()\-]"), _count(F.col("_t"), r"[\x21-\x7E&&[^A-Za-z0-9.,;:!?'\"()\-]]"), _count(F.col("_t"), r"[^\x09-\x0D\x20-\x7E]")
-    df = df.select(
-        *own, n.cast("long").alias("n_words"), "_t", "_words", "_h", F.length("_t").cast("long").alias("_len"), lines.alias("_lines"),
-        F.struct(upper.alias("upper"), digit.alias("digit"), space.alias("space"), stop.alias("stop"), symbol.alias("symbol"), beyond.alias("beyond")).alias("_c"),
-    )
+    # most characters are a-z and blanks: what is left without them is short, and is counted class by class
+    rare = F.regexp_replace("_t", "[a-z ]+", "")
+    df = df.select(*own, n.cast("long").alias("n_words"), "_words", "_h", F.length("_t").cast("long").alias("_len"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), lines.alias("_lines"), rare.alias("_r"))
     df = add_repeated_words(df, "_h")
-    # every word between spaces of its own, so that words side by side are both found
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("_t"), SPACES, "  "), F.lit(" "))
-    df = df.withColumn("_s", spaced)
+    r = F.col("_r")
+    rest = {"upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()\-]", "symbol": r"[\x21-\x7E&&[^A-Za-z0-9.,;:!?'\"()\-]]", "beyond": r"[^\x09-\x0D\x20-\x7E]"}
+    df = df.withColumn("_c", F.struct(*[_count(r, p).alias(x) for x, p in rest.items()]))
+    df = df.withColumn("n_symbols", _count(r, r"[#*$%&|<>]"))
+    found = F.lit(None).cast("array<string>")
+    for lang, common in COMMON_WORDS.items():
+        found = F.when(F.col("lang") == lang, F.filter("_words", _is_one_of(common))).otherwise(found)
+    df = df.withColumn("_found", F.transform(found, lambda x: F.lower(x)))
     by_lang = F.lit(None).cast("array<bigint>")
     for lang, common in COMMON_WORDS.items():
-        counts = F.array(*[((F.octet_length("_s") - F.octet_length(F.replace(F.col("_s"), F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("long") for x in common])
-        by_lang = F.when(F.col("lang") == lang, counts).otherwise(by_lang)
+        by_lang = F.when(F.col("lang") == lang, F.array(*[F.size(F.filter("_found", _is(x))).cast("long") for x in common])).otherwise(by_lang)
     c = F.col("_c")
-    lower = F.col("_len") - c["upper"] - c["digit"] - c["space"] - c["stop"] - c["symbol"] - c["beyond"]
-    return df.select(
-        *own, "n_words", (F.col("_len") - c["space"]).alias("word_chars"), _count(F.col("_t"), r"[#*$%&|<>]").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.array(lower, *[c[x] for x in CLASSES[1:]]).alias("chars"), by_lang.alias("common"),
-    )
+    lower = F.col("word_chars") - sum((c[x] for x in rest), F.lit(0))
+    counts = {"lower": lower, "space": F.col("_len") - F.col("word_chars")} | {x: c[x] for x in rest}
+    dup_lines = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
+    return df.select(*own, "n_words", "word_chars", "n_symbols", dup_lines.alias("n_dup_lines"), "n_repeat_words", F.array(*[counts[x] for x in CLASSES]).alias("chars"), by_lang.alias("common"))
+
+
+def _is_one_of(words: tuple[str, ...]):
+    return lambda w: F.lower(w).isin(*words)
+
+
+def _is(word: str):
+    return lambda w: w == word
 
 
 def _shares(counts: Column) -> Column:

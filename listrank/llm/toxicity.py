@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,29 +14,42 @@ from .common import cut
 from .decontam import words_of
 
 #: Documents that a fit sees at most, of either kind, and words that a model has at most.
-FIT_ROWS, VOCABULARY = 3_000, 5_000
+FIT_ROWS, VOCABULARY = 5_000, 5_000
 #: Errors that a word's rate among the positives must be off its rate among all.
-LEAST_CONTRAST = 4.0
+LEAST_CONTRAST = 6.0
 CUT = 0.7
 
 
+#: Bytes of a word's beginning that are a term too, as inflected words share their stem.
+STEM = 5
+
+
+def term_counts(text: bytes | None, known=None) -> dict[bytes, int]:
+    """Counts of a text's words, and of their stems behind a mark that no word has; of those in known, if given."""
+    counts: dict[bytes, int] = {}
+    for word in words_of(text):
+        if known is None or word in known:
+            counts[word] = counts.get(word, 0) + 1
+        stem = b"^" + word[:STEM]
+        if len(word) > STEM and (known is None or stem in known):
+            counts[stem] = counts.get(stem, 0) + 1
+    return counts
+
+
 class PUModel:
-    """Weights of words: a document's logit is the bias and the sum over its words of weight * log(1 + count)."""
+    """Weights of terms (words and stems): a document's logit is the bias and the sum over its terms of weight * log(1 + count)."""
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, text: bytes | None) -> float:
-        get = self.weights.get
-        counts: dict[bytes, int] = {}
-        for word in words_of(text):
-            if word in self.weights:
-                counts[word] = counts.get(word, 0) + 1
-        logit = self.bias + sum(get(w) * np.log1p(n) for w, n in counts.items())
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        weights, logit = self.weights, self.bias
+        for term, n in term_counts(text, weights).items():
+            logit += weights[term] * math.log1p(n)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def fit_pu(docs: Iterator[tuple[bool, list[bytes], list[int]]], prior: float, vocabulary: int = VOCABULARY, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> PUModel:
+def fit_pu(docs: Iterator[tuple[bool, list[bytes], list[int]]], prior: float, vocabulary: int = VOCABULARY, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> PUModel:
     """docs: (confirmed toxic, distinct words, their counts). A logistic model under the non-negative risk estimate
     prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)),
     with full-batch Adam steps; where the second term is negative, the step ascends it instead. Words are those in 5
@@ -93,9 +107,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         words, counts = [], []
         for text in batch.column(1).cast(pa.binary()):
-            seen: dict[bytes, int] = {}
-            for word in words_of(text.as_py()):
-                seen[word] = seen.get(word, 0) + 1
+            seen = term_counts(text.as_py())
             words.append(list(seen))
             counts.append(list(seen.values()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))], names=["toxic", "words", "counts"])
@@ -118,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> PUMod
     others = others.orderBy(*first).limit(fit_rows).withColumn("toxic", F.lit(False))
     chosen = cut(toxic.unionByName(others).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("toxic", "text").limit(4 * fit_rows).mapInArrow(_count_batches, "toxic boolean, words array<binary>, counts array<int>").toArrow()
+    rows = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text").limit(2 * fit_rows).mapInArrow(_count_batches, "toxic boolean, words array<binary>, counts array<int>").toArrow()
     parts = ((r["toxic"], r["words"], r["counts"]) for b in rows.to_batches(64) for r in b.to_pylist())
     return fit_pu(parts, float(np.clip(share, 1e-3, 0.5)))
 
