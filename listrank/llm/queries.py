@@ -162,8 +162,8 @@ t AS (SELECT * FROM (VALUES {sets}) AS t(tid, label, ws)),
 l AS (SELECT rid, {_LOOSE} AS lw FROM (SELECT rid, unnest(string_split(text, chr(10))) AS text FROM d)),
 m AS (SELECT rid, label, len(list_intersect(list_distinct(lw), ws)) / len(ws) AS c FROM l, t),
 hit AS (SELECT rid, label, max(c) AS c FROM m WHERE c >= {licenses.CONTAINMENT} - 1e-12 GROUP BY rid, label),
-both AS (SELECT rid, label, true AS is_base, 1.0::DOUBLE AS c FROM places UNION ALL SELECT rid, label, false, c FROM hit),
-s AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, max(c) AS score FROM both GROUP BY rid)
+allof AS (SELECT rid, label, true AS is_base, 1.0::DOUBLE AS c FROM places UNION ALL SELECT rid, label, false, c FROM hit),
+s AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, max(c) AS score FROM allof GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN base USING (rid) LEFT JOIN s USING (rid)"""
 
