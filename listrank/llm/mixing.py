@@ -14,6 +14,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CEILING = 1.5, 2.0
 #: Documents that meet in one node of the reduction tree, on average.
 FAN_IN = 256
+#: Sources up to which their table of targets is broadcast; beyond, the join is a shuffle.
+BROADCAST_SOURCES = 50_000
 SEED = 20_240_601
 
 
@@ -66,9 +68,10 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     sizes = docs.select("source", F.col(id_column).alias("id"), word_count(F.col("text")).alias("size"))
     alike = cut(sizes.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("m")))
     targets = cut(source_targets(alike.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, ceiling))
-    largest = targets.agg(F.max("n")).first()[0] or 0
+    largest, n_sources = targets.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(F.lit(0.0))
-    rows = alike.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("mass", F.col("m") * rate)
+    named = targets.withColumnRenamed("source", "_source")
+    rows = alike.join(F.broadcast(named) if n_sources <= BROADCAST_SOURCES else named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("mass", F.col("m") * rate)
     rows = rows.withColumn("sure", F.floor(F.col("mass") + 1e-9)).withColumn("p", F.greatest(F.col("mass") - F.col("sure"), F.lit(0.0)))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
     payload = F.struct("source", "id", "size", "m", "sure", "source_size", "target")
