@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes a wide table once, as Parquet in the shared folder, so that later passes can prune its columns."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Writes a wide table once, as Parquet in the shared folder, so that later passes can prune its columns. Also
+    returns a function that deletes it, for use when nothing lazy refers to it any more."""
+    spark = df.sparkSession
+    name = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(name)
+
+    def delete() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(name), delete
 
 
 def word_count(text: Column) -> Column:

@@ -33,7 +33,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     lines stay null; repeated rows count as pages of their own and get equal results."""
     own = [c for c in pages.columns if c not in ("marks", "page_key", "kept_lines")]
     marks = F.array_distinct(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    work = staged(pages.select(*own, marks.alias("marks"), F.xxhash64("id", "host", "lines").alias("page_key")))
+    work, _ = staged(pages.select(*own, marks.alias("marks"), F.xxhash64("id", "host", "lines").alias("page_key")))
     seen = work.where("host is not null").select("page_key", "host", F.explode("marks").alias("mark"))
     counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("on_pages")).where(F.col("on_pages") >= least_pages)
     totals = work.where("host is not null").groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("pages"))

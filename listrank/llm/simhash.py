@@ -277,7 +277,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius
     shingle sets themselves. Texts without words are one class. All columns stay; clashing names do no harm."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = keyed.select("doc_id", "text_key", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("set_id"), F.lit(None).cast("array<long>").alias("routes"), F.lit(None).cast("binary").alias("shingles")).schema
-    work = staged(keyed.mapInArrow(_sketch_batches, kind))
+    work, delete = staged(keyed.mapInArrow(_sketch_batches, kind))
     routed = _meet(work.select("set_id", F.explode("routes").alias("key")).distinct(), "key", "set_id", block)
     routed = cut(routed.select("task", "set_id"))
     wanted = routed.select(F.col("set_id").alias("_set")).distinct()
@@ -285,7 +285,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius
     dealt = routed.join(payload, F.col("set_id") == F.col("_set")).select("task", "set_id", "fingerprint", "shingles").repartition("task").sortWithinPartitions("task")
     roots = connected(dealt.mapInArrow(_similar_batches(radius, similarity), "a long, b long"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
-    classes = work.select("set_id", row.alias("row")).groupBy("set_id").agg(F.min("row").alias("row"))
+    classes = cut(work.select("set_id", row.alias("row")).groupBy("set_id").agg(F.min("row").alias("row")))
+    delete()  # links and classes are checkpointed: what follows needs the texts, no longer the sketches
     classes = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(F.coalesce("root", "set_id").alias("root"), "row")
     keepers = classes.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
     kept = docs.withColumn("_text_key", F.xxhash64("text")).join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
