@@ -31,14 +31,14 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     line reaches the shuffle as one row a task. Lines travel as a 64-bit hash and their length; the texts are shuffled
     once, when a page with boilerplate meets its list of lines to drop. Pages without a host keep every line and null
     lines stay null; repeated rows count as pages of their own and get equal results."""
-    own = [c for c in pages.columns if c not in ("marks", "page_key", "kept_lines")]
+    pages = pages.drop("kept_lines")  # rows travel as structs, so that no column of theirs can clash with the joins' own
     marks = F.array_distinct(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    work, _ = staged(pages.select(*own, marks.alias("marks"), F.xxhash64("id", "host", "lines").alias("page_key")))
+    work, _ = staged(pages.select(F.struct(*pages.columns).alias("row"), "host", marks.alias("marks"), F.xxhash64("id", "host", "lines").alias("page_key")))
     seen = work.where("host is not null").select("page_key", "host", F.explode("marks").alias("mark"))
     counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("on_pages")).where(F.col("on_pages") >= least_pages)
     totals = work.where("host is not null").groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("pages"))
     common = cut(counts.join(totals, F.col("host") == F.col("site")).where(F.col("on_pages") > F.lit(ratio) * F.col("pages")).select(F.col("host").alias("site"), F.col("mark").alias("common")))
     dropped = seen.join(common, (F.col("host") == F.col("site")) & (F.col("mark") == F.col("common"))).groupBy(F.col("page_key").alias("key")).agg(F.collect_set("mark").alias("gone"))
     both = work.join(dropped, F.col("page_key") == F.col("key"), "left")
-    stays = F.filter("lines", lambda x: ~F.array_contains("gone", F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    return both.select(*own, F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays).alias("kept_lines"))
+    stays = F.filter("row.lines", lambda x: ~F.array_contains("gone", F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
+    return both.select("row.*", F.when(F.col("gone").isNull(), F.col("row.lines")).otherwise(stays).alias("kept_lines"))

@@ -105,10 +105,11 @@ def row_copies(copies: Column, m: Column, nth: Column) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: each row of docs as often as the plan takes it, in docs' own columns."""
     plan = plan_mix(docs, **options).select(F.col("source").alias("_s"), F.col("id").alias("_i"), F.col("size").alias("_z"), F.col("m").alias("_m"), F.col("copies").alias("_c")).where("_c > 0")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    # the rows travel as structs, so that no column of docs can clash with the join's own
     key = options.get("id_column", "doc_id")
-    both = sized.join(plan, F.col(key).eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    alike = Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(F.col("text")))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+    both = sized.join(plan, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    alike = Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("row.text"))
     nth = F.when(F.col("_m") > 1, F.row_number().over(alike) - 1).otherwise(0)
     times = row_copies(F.col("_c"), F.col("_m"), nth).cast("int")
-    return both.withColumn("_times", times).where("_times > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    return both.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

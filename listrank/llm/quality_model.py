@@ -111,17 +111,19 @@ def classify(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     site and path. Null and empty texts have the features of nothing; null sites and paths are groups of their own; all
     rows and columns stay, repeated rows too; an empty table stays empty."""
     model = train(docs, labels, fit_rows)
-    rows = with_features(docs.drop("quality"), "_x")
+    docs = docs.drop("quality")  # rows travel as structs, so that no column of theirs can clash with the join's own
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col(site).alias("site"), F.col(path).alias("path"))
+    rows = with_features(rows, "_x")
     rows = rows.withColumn("_p", 1 / (1 + F.exp(-model.logit(F.col("_x"))))).drop("_x")
-    sites = cut(score_sites(rows.select(F.col(site).alias("site"), F.col(path).alias("path"), F.col("_p").alias("p"))))
+    sites = cut(score_sites(rows.select("site", "path", F.col("_p").alias("p"))))
     names = {c: f"_{c}" for c in sites.columns}
     sites = sites.withColumnsRenamed(names)
     if sites.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
-    both = rows.join(sites, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")))
+    both = rows.join(sites, F.col("site").eqNullSafe(F.col("_site")) & F.col("path").eqNullSafe(F.col("_path")))
     at_site = (F.col("_site_s") - F.col("_p") + F.col("_k_site") * F.col("_rate")) / (F.col("_site_n") - 1 + F.col("_k_site"))
     both = both.withColumn("_host", at_site)
     both = both.withColumn("_sub", (F.col("_path_s") - F.col("_p") + F.col("_k_path") * F.col("_host")) / (F.col("_path_n") - 1 + F.col("_k_path")))
     both = both.withColumn("_z", _logit(F.col("_p")) + F.lit(site_weight) * (_logit(F.col("_sub")) - _logit(F.col("_rate"))))
     final = 1 / (1 + F.exp(-F.col("_z")))
-    return both.select(*[docs[c] for c in docs.columns if c != "quality"], F.struct(F.col("_p").alias("doc_score"), F.col("_host").alias("site_posterior"), F.col("_sub").alias("path_posterior"), final.alias("score"), (final >= keep_from).alias("kept")).alias("quality"))
+    return both.select("row.*", F.struct(F.col("_p").alias("doc_score"), F.col("_host").alias("site_posterior"), F.col("_sub").alias("path_posterior"), final.alias("score"), (final >= keep_from).alias("kept")).alias("quality"))

@@ -280,15 +280,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius
     work, delete = staged(keyed.mapInArrow(_sketch_batches, kind))
     routed = _meet(work.select("set_id", F.explode("routes").alias("key")).distinct(), "key", "set_id", block)
     routed = cut(routed.select("task", "set_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+    classes = cut(work.select("set_id", row.alias("row")).groupBy("set_id").agg(F.min("row").alias("row")))
     wanted = routed.select(F.col("set_id").alias("_set")).distinct()
-    payload = work.select("set_id", "fingerprint", "shingles").join(wanted, F.col("set_id") == F.col("_set"), "left_semi").groupBy(F.col("set_id").alias("_set")).agg(F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"))
+    # one row stands for a class, so that its copies, however many, are not dealt to one task
+    chosen = classes.join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select(F.col("set_id").alias("_set"), F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    payload = work.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["_set"]).select("_set", "fingerprint", "shingles")
     dealt = routed.join(payload, F.col("set_id") == F.col("_set")).select("task", "set_id", "fingerprint", "shingles").repartition("task").sortWithinPartitions("task")
     roots = connected(dealt.mapInArrow(_similar_batches(radius, similarity), "a long, b long"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
-    classes = cut(work.select("set_id", row.alias("row")).groupBy("set_id").agg(F.min("row").alias("row")))
     delete()  # links and classes are checkpointed: what follows needs the texts, no longer the sketches
     classes = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(F.coalesce("root", "set_id").alias("root"), "row")
     keepers = classes.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
-    kept = docs.withColumn("_text_key", F.xxhash64("text")).join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    # the rows travel as structs, so that no column of docs can clash with the join's own
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
