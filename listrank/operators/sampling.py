@@ -28,7 +28,9 @@ def sample_candidates(targets: DataFrame, seen: DataFrame, n_items: int, negativ
     while True:
         draws = need.select("row_id", "user_idx", F.col("item_idx").alias("_positive"), F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))).alias("draw"))
         draws = add_key(draws, "_key", F.col("row_id"), F.col("draw"), seed)
-        draws = draws.withColumn("item_idx", F.shiftrightunsigned("_key", 1) % F.lit(n_items)).where("item_idx <> _positive").drop("_key", "_positive")
+        # beside a row number, filters and joins stay above the key: pushed below, they would repeat its whole expression
+        draws = draws.withColumn("item_idx", F.shiftrightunsigned("_key", 1) % F.lit(n_items)).withColumn("_at", F.monotonically_increasing_id())
+        draws = draws.where("item_idx <> _positive AND _at >= 0").select("row_id", "user_idx", "item_idx", "draw")
         fresh = draws.join(seen.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti").select("row_id", "user_idx", "item_idx", "draw")
         found = fresh if found is None else found.unionByName(fresh)
         if unique:

@@ -91,8 +91,9 @@ def query(sql: str | None = None, base: bool = True, extra: str = ""):
     return register
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """nudge moves values off decimal ties, which the order of a sum would else decide."""
+    return df.select(*[F.round(F.col(c).cast("double") + nudge, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
 
 
 # preparation
@@ -162,11 +163,11 @@ def item_stats(spark, sf):
     return _rounded(prep.item_statistics(td.deduplicated(spark, sf)))
 
 
-@query("SELECT i.item_id, item_idx, p_brand, interaction_count, price_bucket FROM items i JOIN (SELECT item_id, count(*) AS interaction_count FROM dedup GROUP BY item_id) USING (item_id) JOIN (SELECT p_partkey, p_brand, CASE " + " ".join(f"WHEN p_retailprice / 20 <= {b} THEN 'price::<={b}'" for b in text.PRICE_BOUNDS) + " ELSE 'price::>100' END AS price_bucket FROM part) ON p_partkey = i.item_id")
+@query("SELECT i.item_id, item_idx, p_brand, interaction_count, price_bucket FROM items i JOIN (SELECT item_id, count(*) AS interaction_count FROM dedup GROUP BY item_id) USING (item_id) JOIN (SELECT p_partkey, p_brand, CASE " + " ".join(f"WHEN p_size * 2.5 <= {b} THEN 'price::<={b}'" for b in text.PRICE_BOUNDS) + " ELSE 'price::>100' END AS price_bucket FROM part) ON p_partkey = i.item_id")
 def item_export(spark, sf):
     rows = tables.checkpointed(td.deduplicated(spark, sf))
     stats = prep.item_statistics(rows).select("item_id", "interaction_count")
-    parts = td.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_brand", text.price_bucket(F.col("p_retailprice") / 20).alias("price_bucket"))
+    parts = td.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_brand", text.price_bucket(F.col("p_size") * 2.5).alias("price_bucket"))
     return prep.dense_ids(rows, "item_id", "item_idx").join(stats, "item_id").join(parts, "item_id")
 
 
@@ -405,12 +406,12 @@ def mask_terms(spark, sf):
     return td.table(spark, sf, "documents").select("doc_id", F.md5(text.mask_terms(F.col("text"), ("apache license", "all rights")).cast("binary")).alias("digest"))
 
 
-_BUCKET = "CASE " + " ".join(f"WHEN p_retailprice / 20 <= {b} THEN 'price::<={b}'" for b in text.PRICE_BOUNDS) + " ELSE 'price::>100' END"
+_BUCKET = "CASE " + " ".join(f"WHEN p_size * 2.5 <= {b} THEN 'price::<={b}'" for b in text.PRICE_BOUNDS) + " ELSE 'price::>100' END"
 
 
 @query(f"SELECT {_BUCKET} AS bucket, count(*) AS n, round(min(p_retailprice), 6) AS low FROM part GROUP BY 1", base=False)
 def price_buckets(spark, sf):
-    parts = td.table(spark, sf, "part").select("p_retailprice", text.price_bucket(F.col("p_retailprice") / 20).alias("bucket"))
+    parts = td.table(spark, sf, "part").select("p_retailprice", text.price_bucket(F.col("p_size") * 2.5).alias("bucket"))
     return _rounded(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("low")))
 
 
@@ -426,7 +427,7 @@ _GROUPS = f"""gs AS (SELECT item_idx, unnest(['brand::' || p_brand, 'type::' ||
 
 def _groups(spark, sf, rows, support: int = 1):
     items, _ = td.items_with_types(rows, spark, sf)
-    return groups.item_groups(items, [groups.prefixed("brand", F.col("p_brand")), groups.prefixed("type", F.col("p_type")), text.price_bucket(F.col("p_retailprice") / 20)], support)
+    return groups.item_groups(items, [groups.prefixed("brand", F.col("p_brand")), groups.prefixed("type", F.col("p_type")), text.price_bucket(F.col("p_size") * 2.5)], support)
 
 
 @query('SELECT item_idx, "group" FROM gs WHERE "group" IN (SELECT "group" FROM gs GROUP BY "group" HAVING count(*) >= 50)', extra=_GROUPS)
@@ -443,16 +444,16 @@ def group_support(spark, sf):
 _BIAS = "gm AS (SELECT avg(y::DOUBLE) AS gm FROM train), bias AS (SELECT user_idx, (sum(y::DOUBLE) + 5 * gm) / (count(*) + 5) AS bias FROM train, gm GROUP BY user_idx, gm)"
 
 
-@query("SELECT user_idx, round(bias, 6) AS bias FROM bias", extra=_BIAS)
+@query("SELECT user_idx, round(bias + 1e-9, 6) AS bias FROM bias", extra=_BIAS)
 def user_bias_smoothed(spark, sf):
-    return _rounded(groups.user_bias(td.split(spark, sf).where("split = 'train'"), SMOOTHING))
+    return _rounded(groups.user_bias(td.split(spark, sf).where("split = 'train'"), SMOOTHING), nudge=1e-9)
 
 
-@query('SELECT user_idx, "group", round(sum(y::DOUBLE - bias) / (count(*) + 5), 6) AS coef FROM train JOIN bias USING (user_idx) JOIN gs USING (item_idx) GROUP BY user_idx, "group" HAVING count(*) >= 2', extra=f"{_GROUPS}, {_BIAS}")
+@query('SELECT user_idx, "group", round(sum(y::DOUBLE - bias) / (count(*) + 5) + 1e-9, 6) AS coef FROM train JOIN bias USING (user_idx) JOIN gs USING (item_idx) GROUP BY user_idx, "group" HAVING count(*) >= 2', extra=f"{_GROUPS}, {_BIAS}")
 def user_group_coef(spark, sf):
     rows = td.split(spark, sf)
     train = rows.where("split = 'train'")
-    return _rounded(groups.user_group_coefficients(train, groups.user_bias(train, SMOOTHING), _groups(spark, sf, rows), SMOOTHING, 2))
+    return _rounded(groups.user_group_coefficients(train, groups.user_bias(train, SMOOTHING), _groups(spark, sf, rows), SMOOTHING, 2), nudge=1e-9)
 
 
 _ROW_KEY = "(user_idx * 1000000 + item_idx) * 100000 + ts"
@@ -472,16 +473,16 @@ def _oof(spark, sf):
     return rows, groups.cross_fitted_control(train, _groups(spark, sf, rows), FOLDS, SMOOTHING, 2)
 
 
-@query("SELECT row_key, fold, round(user_oof, 6) AS user_oof, round(group_oof, 6) AS group_oof FROM oof", extra=f"{_GROUPS}, {_OOF}")
+@query("SELECT row_key, fold, round(user_oof + 1e-9, 6) AS user_oof, round(group_oof + 1e-9, 6) AS group_oof FROM oof", extra=f"{_GROUPS}, {_OOF}")
 def group_control_oof(spark, sf):
-    return _rounded(_oof(spark, sf)[1].select("row_key", "fold", "user_oof", "group_oof"))
+    return _rounded(_oof(spark, sf)[1].select("row_key", "fold", "user_oof", "group_oof"), nudge=1e-9)
 
 
 _RATES = ", ".join(f"(sum(a{i}) OVER (PARTITION BY p_brand) + 5 * m{i}) / (count(*) OVER (PARTITION BY p_brand) + 5) AS p{i}" for i in range(_TYPES))
 _RES = f"pr AS (SELECT v.*, {_RATES} FROM vecs v JOIN parts USING (item_idx), means), res AS (SELECT item_idx, {', '.join(f'CASE WHEN p{i} > 0.95 THEN 0 ELSE a{i} - p{i} END AS r{i}' for i in range(_TYPES))} FROM pr)"
 
 
-@query(f"SELECT user_idx, {', '.join(f'round(sum((y - user_oof - group_oof) * r{i}), 4) AS a{i}' for i in range(_TYPES))} FROM oof JOIN res USING (item_idx) GROUP BY user_idx", extra=f"{_GROUPS}, {_OOF}, {_RES}")
+@query(f"SELECT user_idx, {', '.join(f'round(sum((y - user_oof - group_oof) * r{i}) + 1e-9, 4) AS a{i}' for i in range(_TYPES))} FROM oof JOIN res USING (item_idx) GROUP BY user_idx", extra=f"{_GROUPS}, {_OOF}, {_RES}")
 def residual_scores(spark, sf):
     """Residualized profiles; a label's propensity is its smoothed rate within the brand."""
     rows, oof = _oof(spark, sf)
@@ -491,7 +492,7 @@ def residual_scores(spark, sf):
     residual = scores.residuals(items.join(rates, F.col("p_brand") == F.col("_b")), attrs)
     weight = F.col("y").cast("double") - F.col("user_oof") - F.col("group_oof")
     joined = oof.join(residual.select("item_idx", *attrs), "item_idx")
-    return _rounded(joined.groupBy("user_idx").agg(*[F.sum(weight * F.col(a)).alias(a) for a in attrs]), 4)
+    return _rounded(joined.groupBy("user_idx").agg(*[F.sum(weight * F.col(a)).alias(a) for a in attrs]), 4, 1e-9)
 
 
 @query(
