@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ WINDOW = 10
 PASS_BYTES = 32 << 20
 #: Words that one index holds. A longer document still gets one index of its own.
 SHARD_WORDS = 1 << 20
+#: A row held for an index counts as at least one word, and as one word for so many bytes of text.
+BYTES_A_WORD = 16
 #: Every how many words of a run a suffix position is kept.
 SAMPLE = 16
 
@@ -187,7 +190,8 @@ def _pass(benchmark: Benchmark, text_at: int, found_at: int, shard_words: int):
                 batch = whole.slice(begin, 256)
                 docs = [np.array([get(w, 0) for w in words_of(t.as_py())], np.int32) for t in batch.column(text_at).cast(pa.binary())]
                 held.append((batch, docs))
-                size += sum(len(d) for d in docs)
+                texts = batch.column(text_at)
+                size += max(sum(len(d) for d in docs), (pc.sum(pc.binary_length(texts)).as_py() or 0) // BYTES_A_WORD, batch.num_rows)
                 if size >= shard_words:
                     yield from flush()
                     size = 0

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -157,6 +158,18 @@ def test_contamination_by_brute_force(spark, docs, rows, empty, pass_bytes, shar
     assert decontam.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).where("size(found.spans) > 0").count() == 0
 
 
+def test_texts_without_words_do_not_pile_up():
+    """Rows without words, or of few long ones, end a shard too."""
+    benchmark = decontam.Benchmark([(1, b"one two")], 10)
+    seen = []
+    benchmark.find, find = lambda docs: seen.append(len(docs)) or find(docs), benchmark.find
+    texts = [None, "", "?" * 4_000] * 512 + ["one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(texts), decontam._FOUND)], names=["text", "found"])
+    out = list(decontam._pass(benchmark, 0, 1, 1_000)([batch]))
+    assert sum(b.num_rows for b in out) == len(texts) and max(seen) <= 1_256 and len(seen) > 1
+    assert out[-1].column(1)[-1].as_py()["items"] == [1]
+
+
 def test_fm_index_against_scan():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
@@ -381,6 +394,21 @@ def test_near_duplicates_by_brute_force(spark):
     assert simhash.drop_near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_that_repeat_lines(spark):
+    """Similarity is that of sets: how often a text repeats a passage must not part it from its near copies."""
+    rng = random.Random(15)
+    rows, radius = [], simhash.RADIUS
+    for i in range(40):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:-3], "x", *(base[40:60] * 30)]))]
+    sketches = [simhash.sketch(t.encode()) for _, t in rows]
+    sets = [set(np.frombuffer(x[3], np.uint32).tolist()) for x in sketches]
+    for a, b, x, y in zip(sets[::2], sets[1::2], sketches[::2], sketches[1::2], strict=True):
+        assert 0.8 <= len(a & b) / len(a | b) < 1 and ((x[0] ^ y[0]) & (1 << 64) - 1).bit_count() <= radius
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
+
+
 # 8
 
 
