@@ -36,3 +36,29 @@ def prefer(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
         out = out.unionByName(t)
     rest = [c for c in tables[0].columns if c not in keys]
     return out.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_rank").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def change_table(metrics: DataFrame, stable: str, keyed: str, keys: Sequence[str] = ("score",), value: str = "ndcg_at_k") -> DataFrame:
+    """keys, stable, keyed, change = keyed - stable."""
+    picked = [F.max(F.when(F.col("policy") == p, F.col(value))).alias(n) for p, n in ((stable, "stable"), (keyed, "keyed"))]
+    return metrics.groupBy(*keys).agg(*picked).withColumn("change", F.col("keyed") - F.col("stable"))
+
+
+def wrong_changes(table: DataFrame, tolerance: float = 5e-5) -> DataFrame:
+    """Rows of a table of rounded figures (stable, keyed, change) whose change is not keyed - stable."""
+    return table.where(~F.coalesce(F.abs(F.col("keyed") - F.col("stable") - F.col("change")) <= tolerance, F.lit(False)))
+
+
+def within(expected: DataFrame, actual: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """keys, expected, actual, abs_diff, status of figures (keys, value)."""
+    other = actual.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("actual"))
+    both = expected.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*keys, F.col("value").alias("expected"), "actual")
+    diff = F.abs(F.col("expected") - F.col("actual"))
+    return both.withColumn("abs_diff", diff).withColumn("status", F.when(diff.isNull(), "missing").when(diff <= tolerance, "pass").otherwise("fail"))
+
+
+def relabelled(df: DataFrame, column: str, labels: dict[str, str]) -> DataFrame:
+    """Rows whose value has a label, in the labels' order, with the label in its place."""
+    place = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(column))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col(column))
+    return df.where(place > 0).orderBy(place).withColumn(column, named)

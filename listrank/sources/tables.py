@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import platform
+import subprocess
 import tempfile
+from collections.abc import Callable, Sequence
+from importlib import metadata
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -96,5 +99,51 @@ def table_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum"))
 
 
-def runtime_manifest() -> str:
-    return json.dumps({"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__}, sort_keys=True)
+def runtime_manifest(packages: Sequence[str] = ("numpy", "pandas", "pyarrow"), folder: str | None = None) -> str:
+    """Versions of what runs here, and the commit checked out in the folder, if any."""
+    found = {}
+    for name in packages:
+        try:
+            found[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found[name] = None
+    try:
+        got = subprocess.run(["git", "-C", folder or ".", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
+        commit = got.stdout.strip() if got.returncode == 0 else None
+    except (OSError, subprocess.TimeoutExpired):
+        commit = None
+    return json.dumps({"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__, "packages": found, "commit": commit}, sort_keys=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """One small JSON file with sorted keys, in any store."""
+    files, at = _file_system(spark, path)
+    stream = files.create(at, True)
+    stream.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    stream.close()
+
+
+def read_json(spark: SparkSession, path: str) -> object:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame], resume: bool) -> DataFrame:
+    """A stage's table: built and written, or read again where an earlier run completed it."""
+    if not (resume and path_exists(spark, f"{path}/_SUCCESS")):
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
