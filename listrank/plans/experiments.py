@@ -283,18 +283,23 @@ def replay(spark: SparkSession, out: str, tolerance: float = 1e-12) -> dict:
     return result
 
 
+def list_contract(lists: DataFrame, seed: int) -> DataFrame:
+    """One row: n_rows, misplaced_positives (not exactly in slot 0), changed_rows (lists whose hardened order depends on
+    slots)."""
+    moved = diagnostics.permutation_changes(lists, (TiePolicy.HARDENED,), seed).select("n_rows", "changed_rows")
+    wrong = lists.agg(F.countDistinct("row_id").alias("n_rows"), F.count_if(F.col("is_positive") != (F.col("slot") == 0)).alias("misplaced_positives"))
+    return wrong.join(moved, "n_rows")
+
+
 def contract(spark: SparkSession, out: str) -> DataFrame:
-    """score_name, n_rows, misplaced_positives (not exactly in slot 0), changed_rows (lists whose hardened order depends
-    on slots) of each frozen family."""
+    """score_name and the list_contract of each frozen family; lists that can't be evaluated raise."""
     evaluation = Evaluation(**tables.read_json(spark, f"{out}/settings.json")["evaluation"])
     frozen = tables.frozen(spark, f"{out}/candidates")
     parts = []
     for name in [r[0] for r in frozen.select("score_name").distinct().orderBy("score_name").collect()]:
         lists = frozen.where(F.col("score_name") == name).drop("score_name")
         validate.require(lists, evaluation.k)
-        moved = diagnostics.permutation_changes(lists, (TiePolicy.HARDENED,), evaluation.key_seed).select("n_rows", "changed_rows")
-        wrong = lists.agg(F.count_if(F.col("is_positive") != (F.col("slot") == 0)).alias("misplaced_positives"), F.countDistinct("row_id").alias("n_rows"))
-        parts.append(moved.join(wrong, "n_rows").select(F.lit(name).alias("score_name"), "n_rows", "misplaced_positives", "changed_rows"))
+        parts.append(list_contract(lists, evaluation.key_seed).select(F.lit(name).alias("score_name"), "*"))
     return _union(parts)
 
 

@@ -15,6 +15,7 @@ from listrank.operators.ranking import KEY_SEED, TiePolicy
 from listrank.sources import tables
 from listrank.streaming import metrics as running
 
+from . import experiments
 from . import testdata as td
 
 SEEDS, SEED_START, K, SMOOTHING, FOLDS = 20, 20_270_000, 10, 5.0, 3
@@ -530,6 +531,29 @@ def policy_pivot_report(spark, sf):
     return _rounded(report.policy_pivot(parts[0].unionByName(parts[1]), list(_ORDERS)))
 
 
+def _gain(policy: str) -> str:
+    return f"avg(CASE WHEN {policy} <= {K} THEN 1.0::DOUBLE / log2({policy} + 1) ELSE 0 END)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{label}' AS score, round(a, 6) AS stable, round(b, 6) AS keyed, round(b - a, 6) AS change FROM (SELECT {_gain('stable_positive_first')} AS a, {_gain('hardened_uint64')} AS b FROM ranked_{s} WHERE is_positive)"
+        for label, s in (("Attribute overlap", "rawkeyed"), ("Popularity", "scored"))
+    ),
+    extra=f"{_ranked('scored')}, {_ranked('rawkeyed')}",
+)
+def policy_change_table(spark, sf):
+    """What hardened keys change against input order, with the scores' names for readers."""
+    parts = [metrics.evaluate(td.scored(spark, sf, f), (TiePolicy.STABLE, TiePolicy.HARDENED)).withColumn("score", F.lit(f)) for f in ("popularity", "raw_count")]
+    changes = report.change_table(parts[0].unionByName(parts[1]), TiePolicy.STABLE, TiePolicy.HARDENED)
+    return _rounded(report.relabelled(changes, "score", {"raw_count": "Attribute overlap", "popularity": "Popularity"}))
+
+
+@query("SELECT count(DISTINCT row_id) AS n_rows, count(*) FILTER (WHERE is_positive <> (slot = 0)) AS misplaced_positives, 0::BIGINT AS changed_rows FROM scored")
+def list_contract(spark, sf):
+    return experiments.list_contract(td.scored(spark, sf), KEY_SEED)
+
+
 @query(" UNION ALL ".join(f"SELECT '{p}' AS policy, {K}::INTEGER AS k, 0.0::DOUBLE AS max_abs_diff, 'pass' AS status" for p in _ORDERS), base=False)
 def replay_compare(spark, sf):
     """Freezes scored lists, reads them again, and compares the metrics of both."""
