@@ -1,4 +1,5 @@
-"""License scans: exact phrases, and an exact set-similarity join of text lines with notice templates."""
+"""License scans: exact phrases, and an exact set-similarity join of text blocks (lines, and windows of words across
+lines) with notice templates."""
 
 from __future__ import annotations
 
@@ -63,35 +64,52 @@ def _all(conditions) -> Column:
     return out
 
 
+def _windows(known: Column, width: Column) -> Column:
+    """The sorted distinct ranks of each window of `width` words that starts at a known word: other windows hold no more.
+    known: array<struct(at, rank)>, by place."""
+    def window(x: Column, k: Column) -> Column:
+        return F.filter(F.slice(known, k + 1, width), lambda y: y["at"] < x["at"] + width)
+
+    return F.transform(known, lambda x, k: F.array_sort(F.array_distinct(F.transform(window(x, k), lambda y: y["rank"]))))
+
+
 def template_matches(docs: DataFrame, keys: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """keys, labels (array), containment: for each row of docs (known by its key columns) with a line that holds at least
-    `containment` of a template's distinct words.
+    """keys, labels (array), containment: for each row of docs (known by its key columns) with a block that holds at least
+    `containment` of a template's distinct words. Blocks are the lines and, for each template, all windows of as
+    many words as it has, wherever lines break: a wrapped notice is one block, and words farther apart are none.
 
-    Words are ordered by the number of documents that have them, rarest first. A line needs a = ceil(containment * |T|)
+    Words are ordered by the number of documents that have them, rarest first. A block needs a = ceil(containment * |T|)
     words of a template T, so it has one of T's first |T| - a + 1 words (prefix filter), a or more words of templates
     (length filter), and from their first shared word on both must have enough words left (positional filter). What
     remains is intersected in full. The filters lose nothing, so the order affects the cost alone."""
     spark = docs.sparkSession
-    sets = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
+    sets = [(len(text.split()), label, sorted(set(text.split()))) for label, text in templates]
     vocabulary = sorted({w for *_, ws in sets for w in ws})
     vocabulary_lit = F.array(*map(F.lit, vocabulary))
     df = docs.select(F.explode(F.array_intersect(_rough_words(F.col("text")), vocabulary_lit)).alias("word")).groupBy("word").count()
     seen = {r["word"]: r["count"] for r in df.collect()}  # at most one row for each word of the templates
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-    prefixes, rows = set(), []
-    for _, label, ws in sets:
+    prefixes, rows, least = set(), [], {}
+    for width, label, ws in sets:
         ranks, need = sorted(rank[w] for w in ws), math.ceil(containment * len(ws) - 1e-9)
+        least[width] = min(need, least.get(width, need))
         for i, r in enumerate(ranks[: len(ws) - need + 1]):
-            rows.append((r, label, i, need, ranks))
+            rows.append((r, label, i, need, ranks, width))
             prefixes.add(next(w for w in ws if rank[w] == r))
-    index = spark.createDataFrame(rows, "word_rank int, label string, t_at int, need int, t_ranks array<int>")
+    index = spark.createDataFrame(rows, "word_rank int, label string, t_at int, need int, t_ranks array<int>, t_width int")
     if len(vocabulary) <= BROADCAST_WORDS:
         index = F.broadcast(index)
     ranks = F.create_map(*[F.lit(x) for item in rank.items() for x in item])
     hopeful = docs.where(F.arrays_overlap(_rough_words(F.col("text")), F.array(*map(F.lit, sorted(prefixes)))))
     lines = hopeful.select(*keys, F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select(*keys, F.array_sort(F.transform(F.array_intersect(_exact_words(F.col("line")), vocabulary_lit), lambda w: F.element_at(ranks, w))).alias("ranks"))
-    pairs = lines.select(*keys, "ranks", F.posexplode("ranks").alias("b_at", "word_rank")).join(index, "word_rank")
+    # a window within one line holds no more than the line, so only texts of two lines or more need windows
+    known = F.filter(F.transform(_exact_words(F.col("text")), lambda w, i: F.named_struct(F.lit("at"), i, F.lit("rank"), F.try_element_at(ranks, w))), lambda x: x["rank"].isNotNull())
+    widths = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(n).alias("least")) for w, n in sorted(least.items())])
+    wrapped = hopeful.where(F.contains("text", F.lit("\n"))).select(*keys, known.alias("known"), F.explode(widths).alias("w"))
+    windows = wrapped.select(*keys, F.col("w.width").alias("width"), F.explode(F.filter(_windows(F.col("known"), F.col("w.width")), lambda x: F.size(x) >= F.col("w.least"))).alias("ranks"))
+    blocks = lines.withColumn("width", F.lit(None).cast("int")).unionByName(windows)
+    pairs = blocks.select(*keys, "width", "ranks", F.posexplode("ranks").alias("b_at", "word_rank")).join(index, "word_rank").where(F.col("width").isNull() | (F.col("width") == F.col("t_width")))
     size_t, size_b, need = F.size("t_ranks"), F.size("ranks"), F.col("need")
     pairs = pairs.where((size_b >= need) & (F.col("b_at") <= size_b - need) & (1 + F.least(size_t - F.col("t_at") - 1, size_b - F.col("b_at") - 1) >= need))
     shared = F.size(F.array_intersect("ranks", "t_ranks"))

@@ -464,6 +464,40 @@ def test_license_scan_by_brute_force(spark, docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_notices_meet_their_templates(spark):
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\ndocumentation files"
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public\nLicense as published by the\nFree Software Foundation"
+    apart = "It was released early.\nLicensed under the Apache License\nsays nothing of another. All\nthe rights are reserved"
+    texts = [bsd, mit, gpl, "All rights\r\n\r\nreserved.", apart, "Redistribution and use in source\n" * 9]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: (["bsd"], 1.0), 1: (["mit"], 1.0), 2: (["gpl"], 1.0), 3: (["reserved"], 1.0), 4: (["apache"], 1.0), 5: ([], 0.0)}
+
+
+def test_blocks_across_lines_by_brute_force(spark):
+    rng = random.Random(12)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    texts = []
+    for i in range(150):
+        notice = rng.choice(licenses.TEMPLATES)[1].split()
+        notice = [w for w in notice if rng.random() > 0.1] if i % 3 else [rng.choice(pool) for _ in range(60)]
+        ws = [*(rng.choice(["stone", "river", "the"]) for _ in range(rng.randint(0, 40))), *notice, *(rng.choice(["stone", "of"]) for _ in range(rng.randint(0, 40)))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n\n# "]) for w in ws))
+    got = {r["doc_id"]: (r["labels"], r["containment"]) for r in licenses.template_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ("doc_id",)).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        w, labels, best = loose(text), set(), 0.0
+        for label, template in licenses.TEMPLATES:
+            t, width = set(template.split()), len(template.split())
+            for have in [*(set(loose(x)) for x in text.split("\n")), *(set(w[k : k + width]) for k in range(len(w)))]:
+                if len(have & t) >= licenses.CONTAINMENT * len(t):
+                    labels.add(label)
+                    best = max(best, len(have & t) / len(t))
+        if labels:
+            want[i] = (labels, best)
+    assert {i: (set(x), c) for i, (x, c) in got.items()} == want and len(want) > 50
+
+
 # 10
 
 
