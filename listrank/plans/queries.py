@@ -569,4 +569,4 @@ def propensity_tfidf_lr(spark, sf):
     """Quality labels from masked texts; the fits are iterative, so there is no SQL."""
     docs = td.table(spark, sf, "documents").join(td.table(spark, sf, "labels"), "doc_id")
     items = docs.select(F.col("doc_id").alias("item_idx"), F.col("text").alias("item_text"), F.col("quality").alias("good"))
-    return _rounded(propensity.out_of_fold(items, "good", ("license",), max_features=2_000, max_iter=20))
+    return _rounded(propensity.out_of_fold(items, "good", ("license",)))

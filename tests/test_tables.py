@@ -1,6 +1,7 @@
 """Preparation, sampling, scores, groups, text and sources."""
 
 import gzip
+import inspect
 import json
 import random
 from collections import Counter
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from listrank.functions import text
 from listrank.operators import groups, prep, propensity, report, sampling, scores
+from listrank.plans import queries
 from listrank.sources import tables
 
 
@@ -128,6 +130,21 @@ def test_binary_report_and_propensity(spark):
     assert p.count() == 120 and groups.binary_report(p).first()["auroc"] > 0.95
 
 
+def test_propensity_query_fits_the_whole_vocabulary(monkeypatch, spark):
+    asked = {}
+    whole = inspect.signature(propensity.out_of_fold)
+
+    def noted(items, *args, **kwargs):
+        bound = whole.bind(items, *args, **kwargs)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return items
+
+    monkeypatch.setattr(propensity, "out_of_fold", noted)
+    queries.propensity_tfidf_lr(spark, "/root/testdata/sf0.001")
+    assert (asked["max_features"], asked["min_df"], asked["max_iter"]) == (15_000, 2, 300)
+
+
 def test_sources_and_reports(spark, tmp_path):
     reviews = [{"user_id": "u", "parent_asin": "i", "rating": 5, "timestamp": 10}, {"user_id": "u", "parent_asin": "i", "rating": "4.0", "timestamp": 11.9}, {"user_id": None, "parent_asin": "i", "rating": 1, "timestamp": 1}, {"user_id": "u", "parent_asin": "i", "rating": "x", "timestamp": 1}]
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
