@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listrank.functions import text
 from listrank.functions.keys import GOLDEN, FIRST, SECOND
-from listrank.operators import diagnostics, groups, metrics, prep, propensity, ranking, report, scores, validate
+from listrank.operators import diagnostics, groups, metrics, prep, propensity, ranking, report, scores, search, validate
 from listrank.operators.ranking import KEY_SEED, TiePolicy
 from listrank.sources import tables
 from listrank.streaming import metrics as running
@@ -513,12 +513,26 @@ def oof_logloss_brier_auc(spark, sf):
 @query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS dot FROM embeddings", base=False)
 def embedding_dot_rank(spark, sf):
     vectors = td.table(spark, sf, "embeddings")
-    asked = vectors.where("vec_id = 0").select("embedding").first()[0]
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    if first is None or first[0] is None:
+        return vectors.select("vec_id", F.lit(None).cast("double").alias("dot"))
+    asked = first[0]
     q = F.array(*[F.lit(float(x)) for x in asked])
     dot = F.aggregate(F.zip_with(F.transform("embedding", lambda x: x.cast("double")), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return vectors.select("vec_id", F.round(dot, 4).alias("dot"))
 
 
+@query(
+    """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dot FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL)
+SELECT query_id, vec_id, round(dot, 4) AS dot, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS rank FROM d""",
+    base=False,
+)
+def embedding_search(spark, sf):
+    """All rows ranked for every query; queries are the rows whose id is divisible by 20."""
+    vectors = td.table(spark, sf, "embeddings")
+    return _rounded(search.rank_by_dot(vectors.where("vec_id % 20 = 0"), vectors), 4)
+
+
 # reports
 
 

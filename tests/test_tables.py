@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listrank.functions import text
-from listrank.operators import groups, prep, propensity, report, sampling, scores
+from listrank.operators import groups, prep, propensity, report, sampling, scores, search
 from listrank.plans import queries
 from listrank.sources import tables
 
@@ -145,6 +145,22 @@ def test_propensity_query_fits_the_whole_vocabulary(monkeypatch, spark):
     assert (asked["max_features"], asked["min_df"], asked["max_iter"]) == (15_000, 2, 300)
 
 
+def test_vector_search_ranks_all_rows_for_all_queries(monkeypatch, spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(1, 101)] + [(120, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in search.rank_by_dot(df.where("vec_id % 20 = 0"), df, 2).collect()}
+    want = {}
+    for q in (20, 40, 60, 80, 100):
+        dots = sorted((-sum(x * y for x, y in zip(v, rows[q - 1][1], strict=True)), i) for i, v in rows if v)
+        want |= {(q, i): (-d, k) for k, (d, i) in enumerate(dots, 1)}
+    assert got == want
+    assert search.rank_by_dot(df.where("false"), df).count() == 0
+    assert "embedding_search" in queries.QUERIES
+    monkeypatch.setattr(queries.td, "table", lambda *_: df)
+    assert {r["dot"] for r in queries.embedding_dot_rank(spark, "").collect()} == {None}
+
+
 def test_sources_and_reports(spark, tmp_path):
     reviews = [{"user_id": "u", "parent_asin": "i", "rating": 5, "timestamp": 10}, {"user_id": "u", "parent_asin": "i", "rating": "4.0", "timestamp": 11.9}, {"user_id": None, "parent_asin": "i", "rating": 1, "timestamp": 1}, {"user_id": "u", "parent_asin": "i", "rating": "x", "timestamp": 1}]
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
