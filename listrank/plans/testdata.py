@@ -38,10 +38,16 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(prep.leave_last_two(mapped(spark, sf_dir), "user_idx", ("ts", "item_idx")))
 
 
+#: Types that become columns; more raise.
+MOST_TYPES = 100
+
+
 def items_with_types(rows: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """item_idx, brand, type, size, price and a 0/1 column per type; types are a handful."""
     parts = table(spark, sf_dir, "part")
-    types = [r[0] for r in parts.select("p_type").distinct().orderBy("p_type").limit(100).collect()]
+    types = [r[0] for r in parts.select("p_type").distinct().orderBy("p_type").limit(MOST_TYPES + 1).collect()]
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} part types")
     known = rows.select("item_id", "item_idx").distinct()
     flags = {f"a{i}": (F.col("p_type") == t).cast("int") for i, t in enumerate(types)}
     items = known.join(parts, F.col("item_id") == F.col("p_partkey")).withColumns(flags)

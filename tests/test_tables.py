@@ -161,6 +161,16 @@ def test_vector_search_ranks_all_rows_for_all_queries(monkeypatch, spark):
     assert {r["dot"] for r in queries.embedding_dot_rank(spark, "").collect()} == {None}
 
 
+def test_types_beyond_the_columns_raise(monkeypatch, spark):
+    rows = spark.createDataFrame([(1, 0)], "item_id long, item_idx long")
+    parts = spark.range(101).selectExpr("id AS p_partkey", "'b' AS p_brand", "concat('t', id) AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
+    monkeypatch.setattr(queries.td, "table", lambda *_: parts)
+    with pytest.raises(ValueError):
+        queries.td.items_with_types(rows, spark, "")
+    monkeypatch.setattr(queries.td, "table", lambda *_: parts.where("p_partkey < 100"))
+    assert len(queries.td.items_with_types(rows, spark, "")[1]) == 100
+
+
 def test_sources_and_reports(spark, tmp_path):
     reviews = [{"user_id": "u", "parent_asin": "i", "rating": 5, "timestamp": 10}, {"user_id": "u", "parent_asin": "i", "rating": "4.0", "timestamp": 11.9}, {"user_id": None, "parent_asin": "i", "rating": 1, "timestamp": 1}, {"user_id": "u", "parent_asin": "i", "rating": "x", "timestamp": 1}]
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
