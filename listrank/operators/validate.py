@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import bad_score, lists
+
 
 def violations(candidates: DataFrame) -> DataFrame:
     """One row of counts: lists without exactly one positive, lists whose positive item repeats, unequal widths, scores
-    that are null, NaN or infinite."""
-    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
-    positive = F.max(F.when(F.col("is_positive"), F.col("item_idx")))
-    rows = candidates.groupBy("row_id").agg(F.count_if("is_positive").alias("pos"), F.count(F.lit(1)).alias("width"), F.count_if(bad).alias("bad"), positive.alias("item"))
-    twice = candidates.where(~F.col("is_positive")).join(rows.select(F.col("row_id").alias("_r"), F.col("item").alias("_i")), (F.col("row_id") == F.col("_r")) & (F.col("item_idx") == F.col("_i"))).select("row_id").distinct()
-    marks = rows.join(twice.withColumn("twice", F.lit(True)), "row_id", "left")
-    return marks.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pos") != 1).alias("not_one_positive"), F.count_if("twice").alias("positive_repeats"), (F.max("width") - F.min("width")).alias("width_spread"), F.min("width").alias("width"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_scores"))
+    that are null, NaN or infinite. One shuffle."""
+    rows = lists(candidates).select(
+        "n_positive", F.size("cands").cast("long").alias("width"), F.size(F.filter("cands", lambda x: bad_score(x["score"]))).alias("bad"),
+        F.exists("cands", lambda x: ~x["is_positive"] & (x["item_idx"] == F.col("positive.item_idx"))).alias("twice"),
+    )
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_positive") != 1).alias("not_one_positive"), F.count_if("twice").alias("positive_repeats"), (F.max("width") - F.min("width")).alias("width_spread"), F.min("width").alias("width"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_scores"))
 
 
 def require(candidates: DataFrame, k: int, diagnostics: bool = False) -> None:

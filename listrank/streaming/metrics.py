@@ -13,9 +13,9 @@ from listrank.operators.ranking import KEYED, KEY_SEED, TiePolicy, positive_rank
 
 
 def state(candidates: DataFrame, policies: Sequence[TiePolicy] = KEYED, seed: int = KEY_SEED, k: int = 10) -> DataFrame:
-    """policy, n, hits, gains, reciprocal: what a batch adds."""
+    """policy, n, hits, gains, reciprocal: what a batch adds. Lists that can't be evaluated raise; no list adds nothing."""
     r = F.col("rank")
-    return long_ranks(positive_ranks(candidates, policies, seed)).groupBy("policy").agg(F.count(r).alias("n"), F.sum(hit(r, k)).alias("hits"), F.sum(ndcg(r, k)).alias("gains"), F.sum(1.0 / r).alias("reciprocal"))
+    return long_ranks(positive_ranks(candidates, policies, seed, k=k)).groupBy("policy").agg(F.count(r).alias("n"), F.sum(hit(r, k)).alias("hits"), F.sum(ndcg(r, k)).alias("gains"), F.sum(1.0 / r).alias("reciprocal"))
 
 
 def merge(states: DataFrame) -> DataFrame:

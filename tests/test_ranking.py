@@ -134,3 +134,64 @@ def test_validation(spark):
     for bad in (table(spark, [(1, [(1, 1), (1, 2), (2, 3)], 0)]), table(spark, [(1, [(1, float("nan")), (2, 2)], 0)]), table(spark, [(1, [(1, 1), (2, 2)], 5)]), table(spark, [(1, [(1, 1)], 0), (2, [(1, 1), (2, 1)], 0)])):
         with pytest.raises(ValueError):
             validate.require(bad, 1)
+
+
+BROKEN = {
+    "no positive": [(0, [(1, 1), (2, 2), (3, 0)], 9)], "none at all": [], "positive twice": [(0, [(1, 1), (1, 2), (2, 3)], 0)],
+    "nan": [(0, [(1, 1), (2, float("nan")), (3, 0)], 0)], "infinite": [(0, [(1, 1), (2, float("inf")), (3, 0)], 0)], "too narrow": [(0, [(1, 1)], 0)],
+}
+EVALUATORS = {
+    "evaluate": lambda df: metrics.evaluate(df, ks=(2,)), "expected": lambda df: metrics.expected_metrics(df, 2), "repeated": lambda df: metrics.repeated_metrics(df, 2, 1, 2),
+    "ties": lambda df: diagnostics.tie_diagnostics(df, 2), "difference": lambda df: diagnostics.policy_difference(df, TiePolicy.STABLE, TiePolicy.HARDENED, 2),
+    "audit": lambda df: diagnostics.contract_audit(df, 2), "state": lambda df: running.state(df, k=2),
+}
+
+
+@pytest.mark.parametrize("name", EVALUATORS)
+def test_evaluators_refuse_what_they_cannot_evaluate(spark, lists, name):
+    """A good list stands beside each broken one."""
+    good, run = [(5, [(7, 1), (8, 2), (9, 3)], 0)], EVALUATORS[name]
+    assert run(table(spark, good)).collect()
+    for fault, broken in BROKEN.items():
+        if fault == "none at all":
+            continue
+        with pytest.raises(Exception, match="list 1"):
+            run(table(spark, good + broken)).collect()
+    two = table(spark, good + [(0, [(1, 1), (2, 2), (3, 0)], 0)]).withColumn("is_positive", F.col("is_positive") | ((F.col("row_id") == 1) & (F.col("slot") == 2)))
+    with pytest.raises(Exception, match="2 positives"):
+        run(two).collect()
+    null = table(spark, good + [(0, [(1, 1), (2, 2), (3, 0)], 0)]).withColumn("score", F.when((F.col("row_id") == 0) | (F.col("slot") < 2), F.col("score")))
+    with pytest.raises(Exception, match="null, NaN or infinite"):
+        run(null).collect()
+    if name not in ("repeated", "state"):
+        with pytest.raises(Exception, match="at least one list"):
+            run(table(spark, good).where("false")).collect()
+
+
+def test_bad_cutoffs_raise(spark):
+    df = table(spark, [(5, [(7, 1), (8, 2), (9, 3)], 0)])
+    for ks in ((), (0,), (2, -1)):
+        with pytest.raises(ValueError):
+            metrics.evaluate(df, ks=ks)
+    for run in (metrics.expected_metrics, diagnostics.tie_diagnostics, diagnostics.contract_audit):
+        with pytest.raises(ValueError):
+            run(df, 0)
+    with pytest.raises(Exception, match="k = 4"):
+        metrics.evaluate(df, ks=(1, 4)).collect()
+
+
+def test_contract_audit_by_brute_force(spark):
+    """Few distinct scores, and float keys forced to be equal, so that both kinds of key differ."""
+    rng = random.Random(31)
+    lists = [(1_000 + r, [(rng.randrange(40), rng.randint(0, 2)) for _ in range(11)], 0) for r in range(60)]
+    lists = [(u, [(100, cs[0][1]), *cs[1:]], 0) for u, cs, _ in lists]
+    keyed = {(u, i): mix(u, i, ranking.KEY_SEED) for u, cs, _ in lists for i, _ in cs}
+    got = diagnostics.contract_audit(table(spark, lists), 4).first()
+    blocks = [sum(s == cs[0][1] for _, s in cs) for _, cs, _ in lists]
+    orders = [[sorted(range(11), key=lambda s: (-cs[s][1], keyed[u, cs[s][0]], cs[s][0], s * way)) for way in (1, -1)] for u, cs, _ in lists]
+    assert all([cs[s][0] for s in a] == [cs[s][0] for s in b] for (a, b), (_, cs, _) in zip(orders, lists, strict=True)) and got["hardened_order_dependent_rows"] == 0
+    assert got["n_rows"] == 60 and got["max_block"] == max(blocks) and got["mean_block_all_rows"] == pytest.approx(sum(blocks) / 60)
+    assert got["duplicate_identity_rows"] == sum(len({i for i, _ in cs}) < 11 for _, cs, _ in lists) and got["positive_in_tie_rows"] == sum(b > 1 for b in blocks)
+    sorted_scores = [sorted((s for _, s in cs), reverse=True) for _, cs, _ in lists]
+    assert got["boundary_tie_rows"] == sum(s[3] == s[4] for s in sorted_scores)
+    assert got["float_key_rows"] == got["archived_order_dependent_rows"] == got["order_difference_rows"] == 0

@@ -81,7 +81,29 @@ def test_sampling(spark):
             items = [i for r, _, s, i, p in out[0] if r == row and s > 0]
             assert positive not in items and not past & set(items) and (not unique or len(set(items)) == 8)
     with pytest.raises(ValueError):
-        sampling.sample_candidates(targets, seen, 6, 8, unique=True, most_draws=100)
+        sampling.sample_candidates(targets, seen, 6, 8, unique=True)
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_sampling_fills_whatever_can_be_filled(spark, unique):
+    """Users who know all of 2,000 items but 30 (one of them the positive of a row) or but 31."""
+    targets = spark.createDataFrame([(0, 0, 1_999), (1, 1, 5)], "row_id long, user_idx long, item_idx long")
+    open_items = {0: set(range(1_969, 2_000)), 1: set(range(100, 130))}
+    seen = spark.createDataFrame([(u, i) for u in (0, 1) for i in range(2_000) if i not in open_items[u]], "user_idx long, item_idx long")
+    out = [sorted(tuple(r) for r in sampling.sample_candidates(t, seen, 2_000, 30, 42, unique).collect()) for t in (targets, targets.repartition(5))]
+    assert out[0] == out[1] and [r[2] for r in out[0]] == [*range(31)] * 2
+    for row, positive in ((0, 1_999), (1, 5)):
+        items = [i for r, _, s, i, _ in out[0] if r == row and s > 0]
+        assert set(items) <= open_items[row] - {positive} and (not unique or len(set(items)) == 30)
+    if unique:
+        with pytest.raises(ValueError):
+            sampling.sample_candidates(targets, seen.unionByName(spark.createDataFrame([(1, 100)], seen.schema)), 2_000, 30, 42, True)
+    else:
+        one = seen.unionByName(spark.createDataFrame([(1, i) for i in range(101, 130)], seen.schema))
+        assert {r["item_idx"] for r in sampling.sample_candidates(targets, one, 2_000, 30, 42).where("row_id = 1 and slot > 0").collect()} == {100}
+        none = one.unionByName(spark.createDataFrame([(1, 100)], seen.schema))
+        with pytest.raises(ValueError):
+            sampling.sample_candidates(targets, none, 2_000, 30, 42)
 
 
 def test_scores(spark):
