@@ -76,6 +76,7 @@ def _exact_draws(need: DataFrame, found: DataFrame, seen: DataFrame, n_items: in
         sizes = eligible.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_eligible"))
         more = short.join(sizes, "row_id").select("row_id", "n_eligible", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first - 1) + F.col("lacks"))).alias("draw"))
         more = add_key(more, "_key", F.col("row_id"), F.col("draw"), ~seed).withColumn("nth", F.shiftrightunsigned("_key", 1) % F.col("n_eligible")).drop("_key", "n_eligible")
+        more = checkpointed(more)  # else the join's filter on nth would repeat the whole key
         chosen = checkpointed(more.join(numbered, ["row_id", "nth"]).select("row_id", "user_idx", "item_idx", "draw"))
     got = chosen.groupBy("row_id").agg(F.count(F.lit(1)).alias("got"))
     bad = short.join(got, "row_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("lacks"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listrank.functions import text
 from listrank.functions.keys import GOLDEN, FIRST, SECOND
-from listrank.operators import diagnostics, groups, metrics, prep, propensity, ranking, report, scores, search, validate
+from listrank.operators import diagnostics, groups, metrics, prep, propensity, ranking, report, sampling, scores, search, validate
 from listrank.operators.ranking import KEY_SEED, TiePolicy
 from listrank.sources import tables
 from listrank.streaming import metrics as running
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 _TWO64 = "18446744073709551616"
+_ROUNDS = sampling.ROUNDS
 
 
 def _mul(a: str, b: int) -> str:
@@ -257,11 +258,76 @@ def candidates_unique(spark, sf):
     return td.candidates(td.split(spark, sf), unique=True).select("row_id", "slot", "item_idx", "is_positive")
 
 
-@query("SELECT (SELECT count(DISTINCT row_id) FROM cands) AS n_rows, 0::BIGINT AS not_one_positive, 0::BIGINT AS positive_repeats, 0::BIGINT AS width_spread, 31::BIGINT AS width, 0::BIGINT AS bad_scores")
+def _violations(source: str) -> str:
+    return f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE pos <> 1) AS not_one_positive, count(*) FILTER (WHERE twice > 0) AS positive_repeats, max(width) - min(width) AS width_spread, min(width) AS width, sum(bad)::BIGINT AS bad_scores
+FROM (SELECT row_id, count(*) FILTER (WHERE is_positive) AS pos, count(*) AS width, count(*) FILTER (WHERE score IS NULL OR isnan(score) OR isinf(score)) AS bad, count(*) FILTER (WHERE NOT is_positive AND item_idx = p) AS twice
+  FROM (SELECT *, max(CASE WHEN is_positive THEN item_idx END) OVER (PARTITION BY row_id) AS p FROM {source}) GROUP BY row_id)"""
+
+
+@query(_violations("popular"))
 def validate_lists(spark, sf):
     return validate.violations(td.scored(spark, sf))
 
 
+_BROKEN = """broken AS (SELECT row_id, slot, CASE WHEN row_id % 7 = 3 AND slot = 2 THEN max(CASE WHEN is_positive THEN item_idx END) OVER (PARTITION BY row_id) ELSE item_idx END AS item_idx,
+  CASE WHEN row_id % 7 = 1 THEN false WHEN row_id % 7 = 2 AND slot = 1 THEN true ELSE is_positive END AS is_positive,
+  CASE WHEN row_id % 7 = 4 AND slot = 3 THEN 'nan'::FLOAT WHEN row_id % 7 = 4 AND slot = 5 THEN 'infinity'::FLOAT WHEN row_id % 7 = 6 AND slot = 4 THEN NULL ELSE score END AS score
+  FROM popular WHERE NOT (row_id % 7 = 5 AND slot = 30))"""
+
+
+@query(_violations("broken"), extra=_BROKEN)
+def invalid_lists(spark, sf):
+    """Lists broken on purpose: without and with two positives, the positive's item repeated, bad scores, one too short."""
+    lists = td.scored(spark, sf)
+    kind, slot = F.col("row_id") % 7, F.col("slot")
+    positive = lists.where("is_positive").select(F.col("row_id").alias("_r"), F.col("item_idx").alias("_p"))
+    lists = lists.join(positive, F.col("row_id") == F.col("_r")).where(~((kind == 5) & (slot == 30)))
+    score = F.when((kind == 4) & (slot == 3), float("nan")).when((kind == 4) & (slot == 5), float("inf")).when((kind == 6) & (slot == 4), None).otherwise(F.col("score"))
+    mark = F.when(kind == 1, False).when((kind == 2) & (slot == 1), True).otherwise(F.col("is_positive"))
+    lists = lists.select("row_id", "user_idx", "slot", F.when((kind == 3) & (slot == 2), F.col("_p")).otherwise(F.col("item_idx")).alias("item_idx"), mark.alias("is_positive"), score.cast("float").alias("score"))
+    return validate.violations(lists)
+
+
+#: A catalogue of 400 items of which a user has not seen 40, so that draws alone leave most rows short.
+_NARROW, _OPEN = 400, 10
+
+
+def _narrow(unique: bool) -> str:
+    keep = "SELECT row_id, item, min(d) AS d FROM nfound GROUP BY row_id, item" if unique else "SELECT row_id, item, d FROM nfound"
+    fill = (
+        f"""nfree AS (SELECT row_id, item FROM nopen ANTI JOIN nfirst USING (row_id, item)), {_keys("nk", "nfree", "row_id", "item", str((~td.SAMPLE_SEED) % (1 << 64)))},
+nmore AS (SELECT row_id, item, {sum(_ROUNDS)} - 1 + row_number() OVER (PARTITION BY row_id ORDER BY z, item) AS d FROM nk)"""
+        if unique
+        else f"""nlack AS (SELECT row_id, 30 - coalesce(n, 0) AS lacks FROM nt LEFT JOIN (SELECT row_id, count(*) AS n FROM nfirst GROUP BY row_id) USING (row_id)),
+ndraw AS (SELECT row_id, unnest(range({sum(_ROUNDS)}, {sum(_ROUNDS)} + lacks)) AS d FROM nlack WHERE lacks > 0), {_keys("nk", "ndraw", "row_id", "d", str((~td.SAMPLE_SEED) % (1 << 64)))},
+nsize AS (SELECT row_id, count(*) AS n FROM nopen GROUP BY row_id), nnum AS (SELECT row_id, item, row_number() OVER (PARTITION BY row_id ORDER BY item) - 1 AS nth FROM nopen),
+nmore AS (SELECT k.row_id, item, d FROM (SELECT row_id, d, ((z >> 1) % n)::BIGINT AS nth FROM nk JOIN nsize USING (row_id)) k JOIN nnum ON nnum.row_id = k.row_id AND nnum.nth = k.nth)"""
+    )
+    return f"""WITH nt AS (SELECT c_custkey AS row_id, c_custkey % {_NARROW} AS pos FROM customer),
+nopen AS (SELECT row_id, item FROM (SELECT row_id, pos, unnest(range({_NARROW})) AS item FROM nt) WHERE (item + row_id) % {_OPEN} = 0 AND item <> pos),
+nd AS (SELECT row_id, pos, unnest(range({sum(_ROUNDS)})) AS d FROM nt), {_keys("nz", "nd", "row_id", "d", str(td.SAMPLE_SEED))},
+nfound AS (SELECT x.row_id, x.item, x.d FROM (SELECT row_id, d, ((z >> 1) % {_NARROW})::BIGINT AS item FROM nz) x JOIN nopen o ON o.row_id = x.row_id AND o.item = x.item),
+nall AS ({keep}), nfirst AS (SELECT row_id, item, d FROM nall QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d) <= 30),
+{fill}, nboth AS (SELECT * FROM nfirst UNION ALL SELECT row_id, item, d FROM nmore)
+SELECT row_id, 0 AS slot, pos AS item_idx FROM nt UNION ALL SELECT row_id, slot::INTEGER, item FROM (SELECT row_id, item, row_number() OVER (PARTITION BY row_id ORDER BY d) AS slot FROM nboth) WHERE slot <= 30"""
+
+
+def _narrow_candidates(spark, sf, unique: bool):
+    users = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_custkey").alias("user_idx"), (F.col("c_custkey") % _NARROW).alias("item_idx"))
+    seen = users.select("user_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_NARROW - 1).cast("long"))).alias("item_idx")).where((F.col("item_idx") + F.col("user_idx")) % _OPEN != 0)
+    return sampling.sample_candidates(users, seen, _NARROW, td.NEGATIVES, td.SAMPLE_SEED, unique).select("row_id", "slot", "item_idx")
+
+
+@query(_narrow(False), base=False)
+def candidates_nearly_full_history(spark, sf):
+    return _narrow_candidates(spark, sf, False)
+
+
+@query(_narrow(True), base=False)
+def candidates_unique_nearly_full_history(spark, sf):
+    return _narrow_candidates(spark, sf, True)
+
+
 # ranking
 
 
@@ -379,9 +445,32 @@ def duplicate_identity_rows(spark, sf):
     return rows.where("repeats > 0")
 
 
-@query("SELECT 'hardened_uint64' AS policy, count(*) AS n_rows, 0::BIGINT AS changed_rows FROM test")
+_TURNED = "turned AS (SELECT row_id, " + ", ".join(f"list(item_idx ORDER BY score DESC, {o}) <> list(item_idx ORDER BY score DESC, {o.replace('slot', 'slot DESC')}) AS moved_{p}" for p, o in _ORDERS.items()) + " FROM scored GROUP BY row_id)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS policy, count(*) AS n_rows, count(*) FILTER (WHERE moved_{p}) AS changed_rows FROM turned" for p in _ORDERS), extra=_TURNED)
 def permutation_invariance(spark, sf):
-    return diagnostics.permutation_changes(td.scored(spark, sf), (TiePolicy.HARDENED,))
+    return diagnostics.permutation_changes(td.scored(spark, sf), ranking.KEYED)
+
+
+@query(
+    f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE kinds_i < width) AS duplicate_identity_rows, count(*) FILTER (WHERE eq > 0) AS float_key_rows, sum(eq)::BIGINT AS float_key_pairs,
+count(*) FILTER (WHERE kinds < width) AS any_tie_rows, count(*) FILTER (WHERE x) AS boundary_tie_rows, count(*) FILTER (WHERE t > 1) AS positive_in_tie_rows, round(avg(t), 6) AS mean_block_all_rows,
+round(coalesce(avg(t) FILTER (WHERE t > 1), 0), 6) AS mean_block_tied_rows, max(t) AS max_block, count(*) FILTER (WHERE ins > 0) AS float_key_in_tie_rows, sum(ins)::BIGINT AS float_key_in_tie_pairs,
+count(*) FILTER (WHERE moved_archived_float32) AS archived_order_dependent_rows, count(*) FILTER (WHERE moved_hardened_uint64) AS hardened_order_dependent_rows, count(*) FILTER (WHERE other) AS order_difference_rows,
+count(*) FILTER (WHERE top) AS topk_difference_rows, count(*) FILTER (WHERE rk) AS positive_rank_difference_rows
+FROM blocks JOIN bound USING (row_id) JOIN tied USING (row_id) JOIN turned USING (row_id) JOIN pairs USING (row_id) JOIN both_orders USING (row_id)""",
+    extra=_BLOCKS + ", " + _TURNED + f""", {_ranked('scored')},
+n32 AS (SELECT *, (z::DOUBLE / {_TWO64}.0)::FLOAT AS k32 FROM scored),
+pairs AS (SELECT row_id, sum(e) AS eq, sum(i) AS ins, count(DISTINCT item_idx) AS kinds_i FROM (SELECT row_id, item_idx,
+  coalesce((lag(k32) OVER a = k32 AND lag(item_idx) OVER a <> item_idx)::INTEGER, 0) AS e, coalesce((lag(score) OVER b = score AND lag(k32) OVER b = k32 AND lag(item_idx) OVER b <> item_idx)::INTEGER, 0) AS i
+  FROM n32 WINDOW a AS (PARTITION BY row_id ORDER BY k32, item_idx), b AS (PARTITION BY row_id ORDER BY score, k32, item_idx)) GROUP BY row_id),
+both_orders AS (SELECT row_id, list(item_idx ORDER BY archived_float32) <> list(item_idx ORDER BY hardened_uint64) AS other,
+  list_sort(list(DISTINCT item_idx) FILTER (WHERE archived_float32 <= {K})) <> list_sort(list(DISTINCT item_idx) FILTER (WHERE hardened_uint64 <= {K})) AS top,
+  bool_or(is_positive AND archived_float32 <> hardened_uint64) AS rk FROM ranked_scored GROUP BY row_id)""",
+)
+def contract_audit(spark, sf):
+    return _rounded(diagnostics.contract_audit(td.scored(spark, sf), K))
 
 
 # text
@@ -563,19 +652,19 @@ def policy_change_table(spark, sf):
     return _rounded(report.relabelled(changes, "score", {"raw_count": "Attribute overlap", "popularity": "Popularity"}))
 
 
-@query("SELECT count(DISTINCT row_id) AS n_rows, count(*) FILTER (WHERE is_positive <> (slot = 0)) AS misplaced_positives, 0::BIGINT AS changed_rows FROM scored")
+@query("SELECT count(DISTINCT row_id) AS n_rows, count(*) FILTER (WHERE is_positive <> (slot = 0)) AS misplaced_positives, (SELECT count(*) FROM turned WHERE moved_hardened_uint64) AS changed_rows FROM scored", extra=_TURNED)
 def list_contract(spark, sf):
     return experiments.list_contract(td.scored(spark, sf), KEY_SEED)
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS policy, {K}::INTEGER AS k, 0.0::DOUBLE AS max_abs_diff, 'pass' AS status" for p in _ORDERS), base=False)
+@query(f"SELECT policy, k, n_rows, hit_at_k, ndcg_at_k, mrr, 0.0::DOUBLE AS max_abs_diff, 'pass' AS status FROM ({_by_policy('scored')})", extra=_ranked("scored"))
 def replay_compare(spark, sf):
     """Freezes scored lists, reads them again, and compares the metrics of both."""
     lists = td.scored(spark, sf)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/frozen-{uuid.uuid4().hex}"
     tables.freeze(lists, path, "popularity")
-    again = tables.frozen(spark, path).where("score_name = 'popularity'").drop("score_name")
-    return _rounded(report.compare(metrics.evaluate(lists), metrics.evaluate(again), ("policy", "k")))
+    again = metrics.evaluate(tables.frozen(spark, path).where("score_name = 'popularity'").drop("score_name"))
+    return _rounded(again.join(report.compare(metrics.evaluate(lists), again, ("policy", "k")), ["policy", "k"]))
 
 
 @query()
