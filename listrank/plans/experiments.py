@@ -39,6 +39,7 @@ class Evaluation:
 class Ratings:
     """Ratings with tag relevances: positive ratings, split at points in time."""
 
+    #: The tags.
     tags: tuple[str, ...] = ("action", "classic", "visually appealing", "based on a book", "violence", "sci-fi")
     least_rating: float = 4.0
     tag_threshold: float = 0.7
@@ -54,6 +55,7 @@ class Reviews:
     k_user: int = 3
     k_item: int = 3
     most_rounds: int = 25
+    #: The labels.
     labels: tuple[str, ...] = ("fragrance_free", "cruelty_free", "sulfate_free")
     folds: int = 3
     max_features: int = 15_000
@@ -161,7 +163,7 @@ def run_ratings(spark: SparkSession, folder: str, out: str, ratings: Ratings = R
     movies = tables.stored(spark, f"{out}/movies", attributes, resume)
 
     def interactions() -> DataFrame:
-        rows = tables.read_csv(spark, f"{folder}/ratings.csv", tables.RATINGS).withColumn("source_row", F.monotonically_increasing_id())
+        rows = tables.source_rows(tables.read_csv(spark, f"{folder}/ratings.csv", tables.RATINGS))
         rows = tables.checkpointed(rows.where(F.col("rating") >= ratings.least_rating).join(movies.select("movieId"), "movieId", "left_semi"))
         users = prep.first_appearance_ids(rows, "userId", [F.col("source_row")], "user_idx")
         items = prep.first_appearance_ids(rows, "movieId", [F.col("source_row")], "item_idx")

@@ -510,6 +510,29 @@ def json_props(spark, sf):
     return td.table(spark, sf, "events").select("event_id", text.flatten_json(F.col("props")).alias("flat"), text.details_map(F.col("props"))["k"].cast("long").alias("k"))
 
 
+@query("SELECT p_partkey, 'name ' || p_name || ' made by ' || p_brand || ' ' || p_type || ' deep size ' || p_size AS flat FROM part", base=False)
+def nested_json(spark, sf):
+    made = F.struct(F.array("p_brand", F.lit(None).cast("string"), "p_type").alias("by"), F.array(F.array(F.struct(F.struct(F.col("p_size").alias("size")).alias("deep")))).alias("x"))
+    text_of = F.replace(F.to_json(F.struct(F.col("p_name").alias("name"), made.alias("made"))), F.lit('"x":'), F.lit('"":'))
+    return td.table(spark, sf, "part").select("p_partkey", F.regexp_replace(text.flatten_json(text_of), " +", " ").alias("flat"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_partkey * 1000 + 0.25 WHEN 1 THEN p_size WHEN 2 THEN NULL ELSE -p_size / 1e4 END::DOUBLE AS price FROM part", base=False)
+def price_texts(spark, sf):
+    """Prices as texts with $ and commas, within words, without a number, and as numbers written with an exponent."""
+    kind, size = F.col("p_size") % 4, F.col("p_size")
+    said = F.when(kind == 0, F.concat(F.lit(" $"), F.format_number(F.col("p_partkey") * 1000 + 0.25, 2))).when(kind == 1, F.concat(F.lit("from "), size.cast("string"), F.lit(" each"))).when(kind == 2, " None ").otherwise(F.concat(F.lit("-"), size.cast("string"), F.lit("E-4")))
+    return td.table(spark, sf, "part").select("p_partkey", F.when(kind == 3, text.numeric_price(said)).otherwise(text.parse_price(said)).alias("price"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'raw_details=' || p_name WHEN 2 THEN 'brand=' || p_brand || ';size=' || p_size ELSE 'raw_details=[\"' || p_type || '\"]' END AS details, CASE p_size % 4 WHEN 0 THEN 0 ELSE 1 END AS n_listed FROM part", base=False)
+def details_and_lists(spark, sf):
+    kind = F.col("p_size") % 4
+    said = F.when(kind == 0, " \n").when(kind == 1, F.concat(F.lit("  "), "p_name", F.lit("\t"))).when(kind == 2, F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")))).otherwise(F.to_json(F.array("p_type")))
+    pairs = F.array_sort(F.transform(F.map_entries(text.details_map(said)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return td.table(spark, sf, "part").select("p_partkey", F.array_join(pairs, ";").alias("details"), F.size(text.text_list(said)).alias("n_listed"))
+
+
 # groups
 
 _GROUPS = f"""gs AS (SELECT item_idx, unnest(['brand::' || p_brand, 'type::' || p_type, {_BUCKET}]) AS "group" FROM parts)"""

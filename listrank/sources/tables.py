@@ -4,32 +4,54 @@ from __future__ import annotations
 
 import json
 import platform
+import re
 import subprocess
 import tempfile
 from collections.abc import Callable, Sequence
 from importlib import metadata
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listrank.functions.text import flatten_json, parse_price
+from listrank.functions.text import json_kind, json_words, normalize, numeric_price, parse_price
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the cluster's shared folder; one of our own only where none is
-    configured."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+    """Cuts the lineage by a reliable checkpoint in the cluster's shared folder. Where none is configured, a folder of
+    our own will do for a local session alone; on a cluster, whose executors don't share it, that raises."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
     return df.checkpoint()
 
 
+def source_rows(lines: DataFrame) -> DataFrame:
+    """Adds source_row to rows that come straight from files: larger for later lines of a file, and for files later by
+    name, however the files are cut into partitions and packed.
+
+    A row is known by its file, the first byte of its block and its place in the partition. Only the last block of a
+    file shares a partition with others, and a block has no more lines than bytes, so block start + place rises along a
+    file. Of one file that is one block, rows are numbered from 0."""
+    spark = lines.sparkSession
+    names = sorted({re.sub(":/+", ":/", n, count=1) for n in lines.inputFiles()})
+    ranks = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _rank long")
+    own = lines.columns
+    name = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
+    placed = lines.select("*", name.alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = placed.join(F.broadcast(ranks), F.col("_path") == F.col("_name"), "left")
+    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("unknown file "), "_path")).cast("long"))
+    return placed.select((F.shiftleft(rank, 42) + F.col("_start") + F.col("_place")).alias("source_row"), *own)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """source_row and record of each line of JSON that is not blank. A compressed file is one partition, so its rows are
-    numbered as its lines are; of several files, later ones have larger numbers."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("source_row"), "value")
-    return lines.where(F.trim("value") != "").select("source_row", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("record"))
+    """source_row, record and kinds of each line of JSON that is not blank; kinds is the line as a variant, which tells a
+    string from what it looks like."""
+    lines = source_rows(spark.read.text(path))
+    return lines.where(F.trim("value") != "").select("source_row", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("record"), F.try_parse_json("value").alias("kinds"))
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +64,27 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """source_row, item_id, title, subtitle, author, store, main_category, categories, price_num, item_text. Rows without
-    an id are left out; item_text joins what is not empty."""
-    fields = ("title", "subtitle", "author", "store", "main_category", "categories", "features", "description", "details", "price")
-    rows = read_json_lines(spark, path, "parent_asin string, " + ", ".join(f"{f} string" for f in fields)).select("source_row", "record.*").where("parent_asin <> ''")
-    text = F.concat_ws(" ", *[F.nullif(flatten_json(F.col(f)), F.lit("")) for f in ("title", "subtitle", "author", "store", "main_category", "categories", "features", "description", "details")])
+    an id are left out. item_text joins the texts as they are and the other fields at any depth, normalized; details
+    that are no object follow the word raw_details. A price that is a number is kept; one that is a text is parsed."""
+    plain, nested = ("title", "subtitle", "author", "store", "main_category"), ("categories", "features", "description")
+    rows = read_json_lines(spark, path, "parent_asin string, " + ", ".join(f"{f} string" for f in (*plain, *nested, "details", "price"))).where("record.parent_asin <> ''")
+    kind = {f: F.regexp_extract(F.schema_of_variant(F.try_variant_get("kinds", f"$.{f}", "variant")), "^[A-Z]+", 0) for f in (*nested, "details", "price")}
+    rows = rows.select("source_row", "record.*", *[k.alias(f"_{f}") for f, k in kind.items()])
+
+    def words(f: str) -> Column:
+        return F.when(F.col(f"_{f}") == "STRING", F.col(f)).otherwise(F.array_join(json_words(F.col(f)), " "))
+
+    told = F.col("details")
+    inner = F.when(F.trim(told) == "", F.lit("")).when(json_kind(told) == "OBJECT", F.array_join(json_words(told), " ")).otherwise(F.concat(F.lit("raw_details "), told))
+    text = normalize(F.concat_ws(" ", *[F.col(f) for f in plain], *[words(f) for f in nested], inner))
+    price = F.when(F.col("_price") == "STRING", parse_price(F.col("price"))).otherwise(numeric_price(F.col("price")))
     listed = F.array_compact(F.coalesce(F.from_json("categories", "array<string>"), F.array().cast("array<string>")))
-    return rows.select("source_row", F.col("parent_asin").alias("item_id"), "title", "subtitle", "author", "store", "main_category", listed.alias("categories"), parse_price(F.col("price")).alias("price_num"), text.alias("item_text"))
+    return rows.select("source_row", F.col("parent_asin").alias("item_id"), *plain, listed.alias("categories"), price.alias("price_num"), text.alias("item_text"))
+
+
+def categories_json(categories: Column) -> Column:
+    """A list of categories as JSON; [] for null."""
+    return F.coalesce(F.to_json(categories), F.lit("[]"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

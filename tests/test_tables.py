@@ -26,6 +26,15 @@ def test_text(spark):
     for value, want in ((None, "price::unknown"), (float("nan"), "price::unknown"), (10.0, "price::<=10"), (10.5, "price::<=20"), (101.0, "price::>100")):
         assert one(spark, value, text.price_bucket, "double") == want
     assert one(spark, '["a", null, {"b": "c"}, ["d", "e"]]', text.flatten_json) == "a b c d e"
+    deep = '{"a": {"b": ["x \\"q\\" y", {"c": [1, [true, null, "t\\u00e9\\\\"]]}], "d": null}, "e": "{[:,]}"}'
+    assert one(spark, deep, text.flatten_json) == 'a b x "q" y c 1 true té\\ d e {[:,]}'
+    assert one(spark, '"1.50"', text.flatten_json) == "1.50" and one(spark, "null", text.flatten_json) == "" and one(spark, None, text.flatten_json) == ""
+    assert one(spark, json.dumps(['\\"' * 20_000]), text.flatten_json) == '\\"' * 20_000
+    for value, want in (("1000000000.0", 1e9), ("1.0E-4", 1e-4), ("-3.5", -3.5), ("NaN", None), ("x", None), (None, None)):
+        assert one(spark, value, text.numeric_price) == want
+    assert one(spark, "  ", text.details_map) == {} and one(spark, " raw \n", text.details_map) == {"raw_details": "raw"} and one(spark, '[1]', text.details_map) == {"raw_details": "[1]"}
+    assert one(spark, ' {"k": {"m": 1}, "n": null} ', text.details_map) == {"k": '{"m":1}', "n": None}
+    assert one(spark, "", text.text_list) == [] and one(spark, " ", text.text_list) == []
     assert one(spark, '{"k": 1, "l": ["x", "y"]}', text.flatten_json) == "k 1 l x y" and one(spark, "plain words", text.flatten_json) == "plain words"
     assert one(spark, '{"k": "v"}', text.details_map) == {"k": "v"} and one(spark, "{bad", text.details_map) == {"raw_details": "{bad"} and one(spark, None, text.details_map) == {}
     assert one(spark, '["a", null, "b"]', text.text_list) == ["a", "b"] and one(spark, "solo", text.text_list) == ["solo"] and one(spark, None, text.text_list) == []
@@ -193,6 +202,22 @@ def test_types_beyond_the_columns_raise(monkeypatch, spark):
     assert len(queries.td.items_with_types(rows, spark, "")[1]) == 100
 
 
+def test_lines_are_numbered_by_file_name_and_place(spark, tmp_path):
+    """Files that are packed largest first, and one that is cut into many blocks."""
+    many = [json.dumps({"user_id": "u", "parent_asin": "i", "rating": 1, "timestamp": n}) for n in range(3_000)]
+    parts = {"a x.json": many[:1], "b.json": many[1:4], "c.json": many[4:2_900], "d.json": many[2_900:]}
+    for name, lines in parts.items():
+        (tmp_path / name).write_text("\n\n".join(lines) + "\n")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (most, "5000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = tables.read_reviews(spark, str(tmp_path)).select("source_row", "ts").collect()
+            assert [r["ts"] for r in sorted(rows)] == list(range(3_000)) and len({r["source_row"] for r in rows}) == 3_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
 def test_sources_and_reports(spark, tmp_path):
     reviews = [{"user_id": "u", "parent_asin": "i", "rating": 5, "timestamp": 10}, {"user_id": "u", "parent_asin": "i", "rating": "4.0", "timestamp": 11.9}, {"user_id": None, "parent_asin": "i", "rating": 1, "timestamp": 1}, {"user_id": "u", "parent_asin": "i", "rating": "x", "timestamp": 1}]
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
@@ -202,7 +227,12 @@ def test_sources_and_reports(spark, tmp_path):
     with gzip.open(tmp_path / "m.jsonl.gz", "wt") as f:
         f.write(json.dumps({"parent_asin": "i", "title": "Soap", "store": "S", "categories": ["A", None, "B"], "features": ["f1", "f2"], "details": {"Brand": "X"}, "price": "$3.50"}) + "\n" + json.dumps({"title": "no id"}))
     item = tables.read_items(spark, str(tmp_path / "m.jsonl.gz")).collect()
-    assert len(item) == 1 and item[0]["categories"] == ["A", "B"] and item[0]["price_num"] == 3.5 and item[0]["item_text"] == "Soap S A B f1 f2 Brand X"
+    assert len(item) == 1 and item[0]["categories"] == ["A", "B"] and item[0]["price_num"] == 3.5 and item[0]["item_text"] == "soap s a b f1 f2 brand x"
+    odd = [{"title": "1.50", "price": 1e9}, {"title": "null", "price": 0.0001, "details": ' {"B": {"C": ["fragrance  free", 2]}} '}, {"price": -3.5, "details": "loose  words"}, {"price": "-3.5", "features": "[1]", "details": ["q"]}, {"price": "none", "description": [["Deep", ["er"]]]}]
+    (tmp_path / "odd.jsonl").write_text("\n".join(json.dumps({"parent_asin": f"i{k}"} | x) for k, x in enumerate(odd)))
+    got = {r["item_id"]: (r["price_num"], r["item_text"]) for r in tables.read_items(spark, str(tmp_path / "odd.jsonl")).collect()}
+    assert got == {"i0": (1e9, "1.50"), "i1": (0.0001, "null b c fragrance free 2"), "i2": (-3.5, "raw_details loose words"), "i3": (3.5, '[1] raw_details ["q"]'), "i4": (None, "deep er")}
+    (tmp_path / "odd.jsonl").unlink()
     (tmp_path / "s.csv").write_text("movieId,tagId,relevance\n1,7,0.9\n1,8,0.1\n2,8,0.7\n")
     (tmp_path / "t.csv").write_text("tagId,tag\n7,action\n8,classic\n")
     attrs = tables.tag_attributes(tables.read_csv(spark, str(tmp_path / "s.csv"), tables.TAG_SCORES), tables.read_csv(spark, str(tmp_path / "t.csv"), tables.TAGS), ["classic", "action"])
