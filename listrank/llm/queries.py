@@ -153,14 +153,13 @@ def _op9() -> str:
     places = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS pos, '{label}' AS label FROM (SELECT rid, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM d) WHERE w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in licenses.PHRASES
     )
-    sets = ", ".join(f"({i}, '{label}', {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    sets = ", ".join(f"({i}, '{label}', {len(text.split())}, {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(licenses.TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_LOOSE} AS w FROM documents),
 places AS ({places}),
 base AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM places GROUP BY rid),
-t AS (SELECT * FROM (VALUES {sets}) AS t(tid, label, ws)),
-l AS (SELECT rid, {_LOOSE} AS lw FROM (SELECT rid, unnest(string_split(text, chr(10))) AS text FROM d)),
-m AS (SELECT rid, label, len(list_intersect(list_distinct(lw), ws)) / len(ws) AS c FROM l, t),
+t AS (SELECT * FROM (VALUES {sets}) AS t(tid, label, width, ws)),
+m AS (SELECT rid, label, len(list_intersect(list_distinct(w[i:i + width - 1]), ws)) / len(ws) AS c FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d), t WHERE list_contains(ws, w[i])),
 hit AS (SELECT rid, label, max(c) AS c FROM m WHERE c >= {licenses.CONTAINMENT} - 1e-12 GROUP BY rid, label),
 allof AS (SELECT rid, label, true AS is_base, 1.0::DOUBLE AS c FROM places UNION ALL SELECT rid, label, false, c FROM hit),
 s AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, max(c) AS score FROM allof GROUP BY rid)

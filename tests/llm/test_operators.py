@@ -440,6 +440,19 @@ def test_toxicity_on_held_out_documents(spark, empty):
 # 9
 
 
+def blocks_of(w):
+    """Labels and largest containment over all windows of as many words as each template has."""
+    labels, best = set(), 0.0
+    for label, template in licenses.TEMPLATES:
+        t, width = set(template.split()), len(template.split())
+        for k in range(len(w)):
+            shared = len(set(w[k : k + width]) & t)
+            if shared >= licenses.CONTAINMENT * len(t):
+                labels.add(label)
+                best = max(best, shared / len(t))
+    return labels, best
+
+
 def test_license_scan_by_brute_force(spark, docs, rows, empty):
     expected = Counter()
     for r in rows:
@@ -451,13 +464,8 @@ def test_license_scan_by_brute_force(spark, docs, rows, empty):
                     places.append(i)
                     labels.add(label)
         base = sorted(labels)
-        for line in (r[1] or "").split("\n"):
-            have = set(loose(line))
-            for label, template in licenses.TEMPLATES:
-                t = set(template.split())
-                if len(have & t) >= licenses.CONTAINMENT * len(t):
-                    labels.add(label)
-                    score = max(score, len(have & t) / len(t))
+        found, best = blocks_of(w)
+        labels, score = labels | found, max(score, best)
         expected[(r[0], len(w), len(places), ",".join(base), ",".join(sorted(labels)), 1.0 if places else score)] += 1
     got = Counter((r["doc_id"], r["n_words"], len(r["places"]), ",".join(r["base_labels"]), ",".join(r["labels"]), r["score"]) for r in licenses.scan_licenses(docs).collect())
     assert got == expected and any("reserved" in k[4] for k in got)
@@ -483,19 +491,17 @@ def test_blocks_across_lines_by_brute_force(spark):
         notice = [w for w in notice if rng.random() > 0.1] if i % 3 else [rng.choice(pool) for _ in range(60)]
         ws = [*(rng.choice(["stone", "river", "the"]) for _ in range(rng.randint(0, 40))), *notice, *(rng.choice(["stone", "of"]) for _ in range(rng.randint(0, 40)))]
         texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n\n# "]) for w in ws))
-    got = {r["doc_id"]: (r["labels"], r["containment"]) for r in licenses.template_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ("doc_id",)).collect()}
-    want = {}
-    for i, text in enumerate(texts):
-        w, labels, best = loose(text), set(), 0.0
-        for label, template in licenses.TEMPLATES:
-            t, width = set(template.split()), len(template.split())
-            for have in [*(set(loose(x)) for x in text.split("\n")), *(set(w[k : k + width]) for k in range(len(w)))]:
-                if len(have & t) >= licenses.CONTAINMENT * len(t):
-                    labels.add(label)
-                    best = max(best, len(have & t) / len(t))
-        if labels:
-            want[i] = (labels, best)
-    assert {i: (set(x), c) for i, (x, c) in got.items()} == want and len(want) > 50
+    got = {r["doc_id"]: (set(r["labels"]), r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=(("no such phrase", "none"),)).where("score > 0").collect()}
+    want = {i: found for i, text in enumerate(texts) if (found := blocks_of(loose(text)))[0]}
+    assert got == want and len(want) > 50
+
+
+def test_long_lines_of_prose_have_no_notice(spark):
+    """Words of a notice far apart on one line, and a notice on a long line; a Kelvin sign is no k; a text of one word."""
+    far = "all of us know that the rights of others are to be kept and nothing is reserved for the few " * 3
+    texts = [far, f"{far}All Rights Reserved {far}", "released under the mit licen\u212ae", "\u212Aall RIGHTS reserved", "reserved " * 30_000, "all rights reserved " * 20_000]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: ([], 0.0), 1: (["reserved"], 1.0), 2: (["mit"], 0.8), 3: ([], 0.0), 4: ([], 0.0), 5: (["reserved"], 1.0)}
 
 
 # 10
