@@ -437,6 +437,60 @@ def test_toxicity_on_held_out_documents(spark, empty):
     assert toxicity.score_toxicity(df, known.where("false")).count() == 1_203
 
 
+def test_pu_risk_by_finite_differences():
+    """Both parts of the risk, by a plain loop, and their gradients; a fit whose second part turns negative stays finite."""
+    rng = np.random.default_rng(21)
+
+    def part(n):
+        return toxicity.Part([{int(c): float(rng.random() + 0.1) for c in rng.choice(5, rng.integers(0, 4), replace=False)} for _ in range(n)], [float(x) for x in rng.random(n) + 0.1])
+
+    positive, unlabelled, prior = part(7), part(30), 0.3
+    for w in (rng.normal(size=6), 3 * rng.normal(size=6)):
+        up, d_up, rest, d_rest = toxicity.pu_risk(w, positive, unlabelled, prior)
+        slow = [0.0, 0.0]
+        for kind, p in ((0, positive), (1, unlabelled)):
+            for i, own in enumerate(p.weight):
+                logit = w[-1] + sum(v * w[c] for r, c, v in zip(p.row, p.column, p.value, strict=True) if r == i)
+                yes, no = math.log1p(math.exp(-logit)), math.log1p(math.exp(logit))
+                if kind == 0:
+                    slow = [slow[0] + prior * own * yes, slow[1] - prior * own * no]
+                else:
+                    slow[1] += own * no
+        assert (up, rest) == pytest.approx(tuple(slow))
+        for k in range(6):
+            e = np.zeros(6)
+            e[k] = 1e-6
+            a, b = toxicity.pu_risk(w + e, positive, unlabelled, prior), toxicity.pu_risk(w - e, positive, unlabelled, prior)
+            assert d_up[k] == pytest.approx((a[0] - b[0]) / 2e-6, abs=1e-6) and d_rest[k] == pytest.approx((a[2] - b[2]) / 2e-6, abs=1e-6)
+    # the unlabelled hold none of the positives' terms: the second part falls below zero, and steps turn around there
+    positive, unlabelled = toxicity.Part([{0: 1.0}] * 5, [1.0] * 5), toxicity.Part([{1: 1.0}] * 5, [1.0] * 5)
+    w = toxicity.fit_pu(positive, unlabelled, 2, 0.4, 0.0)
+    assert np.isfinite(w).all() and positive.probabilities(w).min() > 0.9 > unlabelled.probabilities(w).max()
+    assert abs(toxicity.pu_risk(w, positive, unlabelled, 0.4)[2]) < 0.05
+
+
+def test_near_copies_are_one_family(spark):
+    rng = random.Random(22)
+    base = prose(rng, 200).split()
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(10, 190, 9)] + [prose(rng, 200) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array([True] * len(texts)), pa.array(texts)], names=["doc_id", "toxic", "drawn", "text"])
+    minima = next(iter(toxicity._term_batches([batch]))).column(5).to_pylist()
+    of = toxicity.families(minima)
+    assert len(set(of[:20])) == 1 and len(set(of)) == 21
+
+
+def test_toxicity_of_odd_tables(spark):
+    """Null and repeated labels, repeated ids with other texts, a very long text, and names that clash."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 40) + (" vilest scumbag" if i % 4 == 0 else ""), "x", "y") for i in range(400)] + [(1, "another text", None, None), (2, "w " * 300_000 + "vilest", None, None), (None, "vilest", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, terms string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (3, None), (0, 1), (0, 0)], "doc_id long, toxic int")
+    got = [toxicity.score_toxicity(docs.repartition(n), labels).select("doc_id", "score", "terms").collect() for n in (1, 5)]
+    assert len(got[0]) == len(rows) and sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    by = {r["doc_id"]: r["score"] for r in got[0]}
+    assert by[None] > max(by[1], by[5]) and all((by[i] >= 0.7) == (i % 4 == 0) for i in range(4, 400))
+
+
 # 9
 
 
