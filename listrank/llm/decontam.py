@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, staged
+
 WINDOW = 10
 #: Benchmark texts that one pass holds, in bytes; a larger benchmark takes several passes.
 PASS_BYTES = 32 << 20
@@ -19,6 +21,8 @@ SHARD_WORDS = 1 << 20
 BYTES_A_WORD = 16
 #: Every how many words of a run a suffix position is kept.
 SAMPLE = 16
+#: Windows that are searched for at once.
+SEARCHED = 1 << 16
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -81,12 +85,19 @@ class FMIndex:
         self.kept, self.sample = kept, order[kept]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of phrases of one length (a row each): the range of suffixes that begin with each."""
+        """Backward search of phrases of one length (a row each): the range of suffixes that begin with each; 0 and 0
+        where there are none. A phrase leaves the search with the first word that ends its range."""
+        left = np.arange(len(phrases))
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.before), np.int64)
         for column in phrases.T[::-1]:
-            low = self.first[column] + self.tree.rank(column, low)
-            high = self.first[column] + self.tree.rank(column, high)
-        return low, np.maximum(low, high)
+            symbol = column[left]
+            low = self.first[symbol] + self.tree.rank(symbol, low)
+            high = self.first[symbol] + self.tree.rank(symbol, high)
+            stays = low < high
+            left, low, high = left[stays], low[stays], high[stays]
+        begin, end = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
+        begin[left], end[left] = low, high
+        return begin, end
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes: steps back in the text until one whose position is kept."""
@@ -101,22 +112,44 @@ class FMIndex:
 
 
 class Benchmark:
-    """The words and distinct windows of one pass's items; picklable, of bounded size."""
+    """The words and distinct windows of one pass's items, as arrays: a window is the place in the items' words where it
+    starts, so it costs 8 bytes and 4 for each item that has it."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int):
+    def __init__(self, items: Iterable[tuple[int | None, bytes | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
+        names, words, n = [], [np.zeros(0, np.int32)], 0
+        starts: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if not len(ids):
+                continue
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.by_size: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in sorted({len(w) for w in windows}):
-            of = [w for w in windows if len(w) == size]
-            self.by_size[size] = np.array(of, np.int32), [sorted(windows[w]) for w in of]
-
-    def find(self, docs: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set[int]]]:
+            count = len(ids) - size + 1
+            starts.setdefault(size, []).append(np.arange(n, n + count))
+            owners.setdefault(size, []).append(np.full(count, len(names), np.int32))
+            names.append(item)
+            words.append(ids)
+            n += len(ids)
+        self.words, self.names = np.concatenate(words), names
+        self.by_size = {size: self._distinct(size, np.concatenate(starts[size]), np.concatenate(owners[size])) for size in sorted(starts)}
+
+    def _distinct(self, size: int, start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct window starts, the first of its owners, and the owners. Windows are sorted by a hash, and
+        neighbours compared word by word; equal ones that another of their hash parts stay apart, which does no harm."""
+        h = np.zeros(len(start), np.uint64)
+        for k in range(size):
+            h = (h ^ self.words[start + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        order = np.argsort(h, kind="stable")
+        start, owner, h = start[order], owner[order], h[order]
+        same = h[1:] == h[:-1]
+        for k in range(size):
+            same &= self.words[start[1:] + k] == self.words[start[:-1] + k]
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        return start[first], np.append(first, len(owner)), owner
+
+    def find(self, docs: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set[int | None]]]:
         """Merged spans of hit words and the items found, of each document (words as numbers, 0: not in the benchmark).
         The index holds the runs of benchmark words that a window fits in: no occurrence can lie elsewhere."""
         least = min(self.by_size, default=1)
@@ -128,19 +161,22 @@ class Benchmark:
                     texts += [ids[a:b], np.zeros(1, np.int32)]
                     doc_at.append(np.full(b - a + 1, k, np.int32))
                     word_at.append(np.arange(a, b + 1))
-        result: list[tuple[list[tuple[int, int]], set[int]]] = [([], set()) for _ in docs]
+        result: list[tuple[list[tuple[int, int]], set[int | None]]] = [([], set()) for _ in docs]
         if not texts or not self.by_size:
             return result
         index, doc_at, word_at = FMIndex(np.concatenate(texts), len(self.vocabulary)), np.concatenate(doc_at), np.concatenate(word_at)
-        spans = []
-        for size, (phrases, items) in self.by_size.items():
-            low, high = index.search(phrases)
-            count = high - low
-            which = np.repeat(np.arange(len(phrases)), count)
-            at = index.locate(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[which])
-            spans.append(np.stack([doc_at[at], word_at[at], word_at[at] + size], 1).astype(np.int64))
-            for key in np.unique(doc_at[at].astype(np.int64) * len(phrases) + which).tolist():
-                result[key // len(phrases)][1].update(items[key % len(phrases)])
+        spans = [np.zeros((0, 3), np.int64)]
+        for size, (start, first, owner) in self.by_size.items():
+            for begin in range(0, len(start), SEARCHED):
+                part = start[begin : begin + SEARCHED]
+                low, high = index.search(self.words[part[:, None] + np.arange(size)])
+                count = high - low
+                which = np.repeat(np.arange(len(part)), count)
+                at = index.locate(np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[which])
+                spans.append(np.stack([doc_at[at], word_at[at], word_at[at] + size], 1).astype(np.int64))
+                for key in np.unique(doc_at[at].astype(np.int64) * len(part) + which).tolist():
+                    k = begin + key % len(part)
+                    result[key // len(part)][1].update(self.names[o] for o in owner[first[k] : first[k + 1]].tolist())
         for doc, start, end in np.unique(np.concatenate(spans), axis=0).tolist():
             merged = result[doc][0]
             if merged and start <= merged[-1][1]:
@@ -161,10 +197,15 @@ def merge_spans(*lists: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+_KIND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
+
 
+def _by_number(items: Iterable[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
 
-def _pass(benchmark: Benchmark, text_at: int, found_at: int, shard_words: int):
-    """A mapInArrow function that adds what one pass finds to the column of earlier passes."""
+
+def _pass(benchmark: Benchmark, text_at: int, shard_words: int, name: str = "found"):
+    """A mapInArrow function that adds what one pass finds as the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
@@ -174,14 +215,10 @@ def _pass(benchmark: Benchmark, text_at: int, found_at: int, shard_words: int):
             found = iter(benchmark.find([ids for _, docs in held for ids in docs]))
             for batch, docs in held:
                 rows = []
-                for ids, old in zip(docs, batch.column(found_at).to_pylist(), strict=True):
+                for ids in docs:
                     spans, items = next(found)
-                    if old:
-                        spans, items = merge_spans(spans, [(s["start"], s["end"]) for s in old["spans"]]), items | set(old["items"])
-                    rows.append({"n_words": len(ids), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
-                columns = batch.columns
-                columns[found_at] = pa.array(rows, _FOUND)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    rows.append({"n_words": len(ids), "spans": [{"start": a, "end": b} for a, b in spans], "items": _by_number(items)})
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _FOUND)], names=[*batch.schema.names, name])
             held.clear()
 
         get = benchmark.vocabulary.get
@@ -200,26 +237,56 @@ def _pass(benchmark: Benchmark, text_at: int, found_at: int, shard_words: int):
     return run
 
 
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the passes found for one row, as one."""
+    for batch in batches:
+        out = []
+        for parts in batch.column(1).to_pylist():
+            spans = merge_spans(*[[(s["start"], s["end"]) for s in p["spans"]] for p in parts])
+            items = _by_number({i for p in parts for i in p["items"]})
+            out.append({"n_words": parts[0]["n_words"], "spans": [{"start": a, "end": b} for a, b in spans], "items": items})
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _FOUND)], names=["key", "found"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, shard_words: int = SHARD_WORDS, found_column: str = "found") -> DataFrame:
     """Adds struct(n_words, spans, items) to each row of docs: its words, the merged removal spans (word positions, end
     exclusive) of every occurrence of a benchmark window, and the ids of the items whose windows occur.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words are
     numbered by the benchmark's vocabulary, so one shard's FM-index is small; shards are cut from the partitions as
-    they stream by, and nothing is shuffled. The benchmark's size is measured: items are dealt by hash to as many
-    passes of pass_bytes as needed, and only one pass's items are sent to the tasks at a time. Null text has no words;
-    a null item id is left out; repeated rows each get their result; a column named like found_column is replaced."""
+    they stream by. The benchmark's size is measured. One of pass_bytes or less takes one pass, in which nothing is
+    shuffled. A larger one is dealt by hash to as many passes as needed, which follow one another: docs are staged once,
+    a pass ends with a checkpoint of what it found in the rows it found something in, and its broadcast is destroyed
+    before the next one's items come to the driver. So the driver and the tasks hold one pass's items, whatever the
+    benchmark's size, unless a single item is larger.
+
+    Null text has no words. Items without an id are searched for like any other; in `items`, one null, the last, stands
+    for all of them. Repeated rows each get their result; a column named like found_column is replaced."""
     spark = docs.sparkSession
     docs = docs.drop(found_column)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
-    kind = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
-    out = docs.withColumn(found_column, F.lit(None).cast(kind))
-    at = out.columns.index("text"), out.columns.index(found_column)
+
+    def shipped(k: int):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
+        return spark.sparkContext.broadcast(Benchmark(((r[0], None if r[1] is None else bytes(r[1])) for r in part.toLocalIterator()), window))
+
+    if passes == 1:
+        held, at = shipped(0), docs.columns.index("text")
+        schema = docs.select("*", F.lit(None).cast(_KIND).alias(found_column)).schema
+        return docs.mapInArrow(lambda batches: _pass(held.value, at, shard_words, found_column)(batches), schema)
+    work, _ = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")))
+    parts = []
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
-        held = Benchmark([(r[0], None if r[1] is None else bytes(r[1])) for r in part.toLocalIterator()], window)
-        shipped = spark.sparkContext.broadcast(held)
-        out = out.mapInArrow(lambda batches, shipped=shipped: _pass(shipped.value, *at, shard_words)(batches), out.schema)
-    return out
+        held = shipped(k)
+        texts = work.select("key", "row.text")
+        found = texts.mapInArrow(lambda batches, held=held: _pass(held.value, 1, shard_words)(batches), f"key long, text string, found {_KIND}").select("key", "found")
+        parts.append(cut(found if k == 0 else found.where(F.size("found.items") > 0)))
+        held.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy("key").agg(F.collect_list("found").alias("parts")).mapInArrow(_merge_batches, f"key long, found {_KIND}")
+    both = work.join(merged.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
+    return both.select("row.*", F.col("found").alias(found_column))
