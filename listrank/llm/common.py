@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of this application; one of our own only where none is configured."""
+    """The checkpoint folder of this application. Where none is configured, a folder of our own will do for a local
+    session alone; on a cluster, whose executors don't share it, that raises."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def spread_join(rows: DataFrame, side: DataFrame, pairs: Sequence[tuple[str, str]], how: str, broadcast_rows: int, salts: int = 32) -> DataFrame:
+    """rows joined to a table of one row a key, on pairs of equal columns, null with null. The side is broadcast if it
+    has no more than broadcast_rows rows; else each of its rows goes to `salts` places and rows are dealt to these at
+    random, so that a hot key is spread over as many tasks. Neither names a column _salt or _place."""
+    on = [rows[a].eqNullSafe(side[b]) for a, b in pairs]
+    if side.count() <= broadcast_rows:
+        return rows.join(F.broadcast(side), on, how)
+    many = side.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return dealt.join(many, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs] + [F.col("_salt") == F.col("_place")], how).drop("_salt", "_place")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a narrow table by a reliable checkpoint."""
     shared_dir(df.sparkSession)

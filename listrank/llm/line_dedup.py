@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, staged
+from .common import cut, spread_join
 
 #: A line on more than this share of its host's pages, and on so many pages at least, is boilerplate.
 RATIO, LEAST_PAGES = 0.3, 5
@@ -23,22 +23,33 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]+)", 1)), F.lit(""))
 
 
+#: Rows of a table of hosts up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def _mark(line: Column) -> Column:
+    """128 bits that stand for a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages(id, host, lines): adds kept_lines, the lines without those that stand on more than `ratio` of the pages of
     their host (and on least_pages or more).
 
     Each page counts a line once, so the count per (host, line) is a sum with map-side partial sums and a hot host or
-    line reaches the shuffle as one row a task. Lines travel as a 64-bit hash and their length; the texts are shuffled
-    once, when a page with boilerplate meets its list of lines to drop. Pages without a host keep every line and null
-    lines stay null; repeated rows count as pages of their own and get equal results."""
+    line reaches the shuffle as one row a task. Lines travel as 128 bits, within their host. A host has no more than
+    1 / ratio boilerplate lines for each line of its average page, so its list is short: pages are read a second time
+    and meet the lists of their hosts by broadcast, or, beyond BROADCAST_ROWS hosts, dealt at random to copies of them.
+    Pages are told apart by nothing, and none is shuffled in the first case; nothing is staged. Pages without a host keep
+    every line and null lines stay null; repeated rows count as pages of their own and get equal results."""
     pages = pages.drop("kept_lines")  # rows travel as structs, so that no column of theirs can clash with the joins' own
-    marks = F.array_distinct(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    work, _ = staged(pages.select(F.struct(*pages.columns).alias("row"), "host", marks.alias("marks"), F.xxhash64("id", "host", "lines").alias("page_key")))
-    seen = work.where("host is not null").select("page_key", "host", F.explode("marks").alias("mark"))
-    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("on_pages")).where(F.col("on_pages") >= least_pages)
-    totals = work.where("host is not null").groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("pages"))
-    common = cut(counts.join(totals, F.col("host") == F.col("site")).where(F.col("on_pages") > F.lit(ratio) * F.col("pages")).select(F.col("host").alias("site"), F.col("mark").alias("common")))
-    dropped = seen.join(common, (F.col("host") == F.col("site")) & (F.col("mark") == F.col("common"))).groupBy(F.col("page_key").alias("key")).agg(F.collect_set("mark").alias("gone"))
-    both = work.join(dropped, F.col("page_key") == F.col("key"), "left")
-    stays = F.filter("row.lines", lambda x: ~F.array_contains("gone", F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    return both.select("row.*", F.when(F.col("gone").isNull(), F.col("row.lines")).otherwise(stays).alias("kept_lines"))
+    sited = pages.where("host is not null")
+    totals = cut(sited.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select(F.col("host").alias("site"), "pages"))
+    marks = sited.select("host", F.explode(F.array_distinct(F.transform("lines", _mark))).alias("mark"))
+    counts = marks.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("on_pages")).where(F.col("on_pages") >= least_pages)
+    common = spread_join(counts, totals, [("host", "site")], "inner", BROADCAST_ROWS).where(F.col("on_pages") > F.lit(ratio) * F.col("pages"))
+    lists = cut(common.groupBy(F.col("site").alias("_site")).agg(F.collect_set("mark").alias("_gone")))
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col("host").alias("_host"))
+    both = spread_join(rows, lists, [("_host", "_site")], "left", BROADCAST_ROWS)
+    stays = F.filter("row.lines", lambda x: ~F.array_contains("_gone", _mark(x)))
+    return both.select("row.*", F.when(F.col("_gone").isNull(), F.col("row.lines")).otherwise(stays).alias("kept_lines"))

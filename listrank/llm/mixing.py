@@ -109,7 +109,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     key = options.get("id_column", "doc_id")
     sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
     both = sized.join(plan, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    alike = Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("row.text"))
+    # rows of one id, source and size take turns by a hash of all they hold, so that reruns agree on which one is taken
+    alike = Window.partitionBy("_i", "_s", "_z").orderBy(F.when(F.col("_m") > 1, F.xxhash64(F.to_json("row"))))
     nth = F.when(F.col("_m") > 1, F.row_number().over(alike) - 1).otherwise(0)
     times = row_copies(F.col("_c"), F.col("_m"), nth).cast("int")
     return both.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

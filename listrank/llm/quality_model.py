@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, spread_join
 
 #: Labelled rows that a fit sees at most, chosen by a hash of their ids.
 FIT_ROWS = 20_000
@@ -65,12 +65,13 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 50) ->
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> LogisticModel:
     """A model of labels.quality from at most fit_rows labelled documents, those first by a hash of their ids. A
-    document's labels are averaged where they repeat."""
+    document's labels are averaged where they repeat, and so are the features of rows that share an id."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    rows = with_features(rows, "x").select("x", "quality").limit(2 * fit_rows).toArrow()
-    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+    means = [F.avg(F.get("x", F.lit(i))).alias(name) for i, name in enumerate(FEATURES)]
+    rows = with_features(rows, "x").groupBy("doc_id", "quality").agg(*means).orderBy("doc_id").toArrow()
+    x = np.stack([np.asarray(rows[name].to_pylist(), float) for name in FEATURES], 1).reshape(-1, len(FEATURES))
     return fit(x, np.array(rows["quality"].to_pylist(), float).round())
 
 
@@ -101,7 +102,7 @@ def score_sites(scored: DataFrame) -> DataFrame:
     return path.join(site, F.col("site").eqNullSafe(F.col("_site"))).select("site", "path", "site_n", "site_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "k_site", F.lit(k_path).alias("k_path"), F.lit(rate).alias("rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", keep_from: float = KEEP_FROM, site_weight: float = SITE_WEIGHT, fit_rows: int = FIT_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", keep_from: float = KEEP_FROM, site_weight: float = SITE_WEIGHT, fit_rows: int = FIT_ROWS, keep_text: bool = True, column: str = "quality") -> DataFrame:
     """Adds struct quality(doc_score, site_posterior, path_posterior, score, kept) to each row of docs.
 
     doc_score is the classifier's probability. A site's posterior is (sum of the other documents' scores there +
@@ -109,21 +110,25 @@ def classify(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     spread between the groups, so sparse sites and paths shrink to what lies above them. The document's logit moves by
     site_weight * (logit of its path's posterior - logit of the global rate). A document's own score is left out of its
     site and path. Null and empty texts have the features of nothing; null sites and paths are groups of their own; all
-    rows and columns stay, repeated rows too; an empty table stays empty."""
+    rows and columns stay, repeated rows too, but for one named like `column`; an empty table stays empty.
+
+    Each text is measured once for the groups' sums and once for its row, so that no text is shuffled or staged; without
+    keep_text it leaves the rows, which are then checkpointed and measured once. The table of groups is broadcast up to
+    BROADCAST_ROWS rows; beyond, rows are dealt at random to copies of it, so that a hot site is spread."""
     model = train(docs, labels, fit_rows)
-    docs = docs.drop("quality")  # rows travel as structs, so that no column of theirs can clash with the join's own
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col(site).alias("site"), F.col(path).alias("path"))
+    own = [c for c in docs.columns if c != column and (keep_text or c != "text")]
+    # rows travel as structs, so that no column of theirs can clash with the join's own
+    rows = docs.select(F.struct(*own).alias("row"), "text", F.col(site).alias("site"), F.col(path).alias("path"))
     rows = with_features(rows, "_x")
-    rows = rows.withColumn("_p", 1 / (1 + F.exp(-model.logit(F.col("_x"))))).drop("_x")
+    rows = rows.select("row", "site", "path", (1 / (1 + F.exp(-model.logit(F.col("_x"))))).alias("_p"))
+    if not keep_text:
+        rows = cut(rows)
     sites = cut(score_sites(rows.select("site", "path", F.col("_p").alias("p"))))
-    names = {c: f"_{c}" for c in sites.columns}
-    sites = sites.withColumnsRenamed(names)
-    if sites.count() <= BROADCAST_ROWS:
-        sites = F.broadcast(sites)
-    both = rows.join(sites, F.col("site").eqNullSafe(F.col("_site")) & F.col("path").eqNullSafe(F.col("_path")))
+    sites = sites.withColumnsRenamed({c: f"_{c}" for c in sites.columns})
+    both = spread_join(rows, sites, [("site", "_site"), ("path", "_path")], "inner", BROADCAST_ROWS)
     at_site = (F.col("_site_s") - F.col("_p") + F.col("_k_site") * F.col("_rate")) / (F.col("_site_n") - 1 + F.col("_k_site"))
-    both = both.withColumn("_host", at_site)
-    both = both.withColumn("_sub", (F.col("_path_s") - F.col("_p") + F.col("_k_path") * F.col("_host")) / (F.col("_path_n") - 1 + F.col("_k_path")))
-    both = both.withColumn("_z", _logit(F.col("_p")) + F.lit(site_weight) * (_logit(F.col("_sub")) - _logit(F.col("_rate"))))
+    both = both.withColumn("_at_site", at_site)
+    both = both.withColumn("_at_path", (F.col("_path_s") - F.col("_p") + F.col("_k_path") * F.col("_at_site")) / (F.col("_path_n") - 1 + F.col("_k_path")))
+    both = both.withColumn("_z", _logit(F.col("_p")) + F.lit(site_weight) * (_logit(F.col("_at_path")) - _logit(F.col("_rate"))))
     final = 1 / (1 + F.exp(-F.col("_z")))
-    return both.select("row.*", F.struct(F.col("_p").alias("doc_score"), F.col("_host").alias("site_posterior"), F.col("_sub").alias("path_posterior"), final.alias("score"), (final >= keep_from).alias("kept")).alias("quality"))
+    return both.select("row.*", F.struct(F.col("_p").alias("doc_score"), F.col("_at_site").alias("site_posterior"), F.col("_at_path").alias("path_posterior"), final.alias("score"), (final >= keep_from).alias("kept")).alias(column))

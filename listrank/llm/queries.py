@@ -40,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = quality_model.classify(docs, table(spark, sf_dir, "labels"))
+    out = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
     return out.select("doc_id", "source", "lang", "quality.*")
 
 
