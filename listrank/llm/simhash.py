@@ -16,6 +16,8 @@ from .common import cut, staged
 SEED = 42
 #: Fingerprints of one shard that meet in one task; larger shards are cut in blocks, and each pair of blocks meets.
 BLOCK = 2_048
+#: Keys of more than a block that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = (1 << 64) - 1
 
@@ -153,15 +155,30 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _meet(rows: DataFrame, key: str, value: str, block: int) -> DataFrame:
-    """rows(key, value): those whose key has two values or more, once for each block pair they take part in, with the
-    pair's number in `task`. A shard of n values is cut in ceil(n / block) blocks by hash."""
-    shared = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / F.lit(block))
-    mine = F.pmod(F.xxhash64(F.col(value)), blocks)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
-    dealt = shared.select("*", F.explode(pair).alias("_pair"))
-    return dealt.withColumn("task", F.xxhash64(key, "_pair.i", "_pair.j")).drop("_n", "_pair")
+def _large(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame:
+    """_key, _n (tasks' worth) of the keys whose values' sizes sum to more than `most`: partial sums before the shuffle,
+    and no more keys than the whole size divided by `most`, so that they are broadcast."""
+    sums = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(size).alias("_sum"))
+    return cut(sums.where(F.col("_sum") > most).select("_key", F.ceil(F.col("_sum") / F.lit(most)).alias("_n")))
+
+
+def _meet(rows: DataFrame, key: str, value: str, most: int, size: Column | None = None) -> DataFrame:
+    """rows(key, value, ...): those whose key has two values or more, once for each block pair they take part in, with the
+    pair's number in `task`. A key whose sizes (one a value, if not given) sum to more than `most` is cut in blocks of
+    about `most` by a hash of the value, and each pair of its blocks meets. Only other keys, whose sizes are bounded, are
+    counted in a window, so that no hot key comes to one task."""
+    size = F.lit(1) if size is None else size
+    large = _large(rows, key, size, most)
+    if large.count() > BROADCAST_KEYS:
+        raise ValueError(f"over {BROADCAST_KEYS} keys of more than {most}: give larger blocks")
+    large = F.broadcast(large)
+    few = rows.join(large, F.col(key) == F.col("_key"), "left_anti").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n > 1")
+    few = few.withColumn("task", F.xxhash64(key)).drop("_n")
+    mine = F.pmod(F.xxhash64(F.col(value)), F.col("_n"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    many = rows.join(large, F.col(key) == F.col("_key")).withColumn("_pair", F.explode(pair))
+    many = many.withColumn("task", F.xxhash64(key, "_pair.i", "_pair.j")).drop("_key", "_n", "_pair")
+    return few.unionByName(many)
 
 
 def _link_batches(radius: int):
@@ -182,15 +199,31 @@ def hamming_links(distinct: DataFrame, radius: int = 2, block: int = BLOCK) -> D
 
     Four bands of 16 bits; two fingerprints within 2 bits agree on two bands at least, so both are dealt to the shard of
     that pair of bands. A shard builds the BK-tree of its own fingerprints and searches it as it grows; shards of one
-    fingerprint end before Python. A tree of all fingerprints would have to pass the driver to be broadcast and has no
+    fingerprint end before Python, and shards over `block` are dealt again by what is left. A tree of all fingerprints would have to pass the driver to be broadcast and has no
     size bound; dealing the queries to the trees finds the same links."""
     if radius > 2:
         raise ValueError("two whole bands are sure for a radius of 2 at most")
     fp = F.col("fingerprint")
     bands = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(bands[i], 16)).bitwiseOR(bands[j]) for k, (i, j) in enumerate(combinations(range(4), 2))]
-    rows = _meet(distinct.select(F.explode(F.array(*keys)).alias("key"), "fingerprint"), "key", "fingerprint", block)
-    dealt = rows.select("task", "fingerprint").repartition("task").sortWithinPartitions("task")
+    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fingerprint")
+    # a shard over the block is dealt again: two within 2 bits agree on two of four parts of the 32 bits that are left,
+    # so that a shard ends with 16 free bits, 65,536 fingerprints at most, whatever its copies or its size before
+    large = _large(rows, "key", F.lit(1), block)
+    if large.count() > BROADCAST_KEYS:
+        raise ValueError(f"over {BROADCAST_KEYS} shards of more than {block} fingerprints: give larger blocks")
+    large = F.broadcast(large.select("_key"))
+    whole = rows.join(large, F.col("key") == F.col("_key"), "left_anti")
+    parts = []
+    for k, (i, j) in enumerate(combinations(range(4), 2)):
+        rest = [b for b in range(4) if b not in (i, j)]
+        bytes_left = [F.shiftrightunsigned(fp, 16 * b + 8 * half).bitwiseAND(F.lit(0xFF)) for b in rest for half in (0, 1)]
+        finer = [F.xxhash64(F.col("key"), F.lit(n), bytes_left[x], bytes_left[y]) for n, (x, y) in enumerate(combinations(range(4), 2))]
+        own = rows.where(F.shiftright("key", 32) == k).join(large, F.col("key") == F.col("_key"), "left_semi")
+        parts.append(own.select(F.explode(F.array(*finer)).alias("key"), "fingerprint"))
+    for part in parts:
+        whole = whole.unionByName(part)
+    dealt = _meet(whole, "key", "fingerprint", block).select("task", "fingerprint").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(_link_batches(radius), "a long, b long")
 
 
@@ -212,6 +245,10 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 SHINGLE, SIMILARITY, ROUTES, MINIMA = 5, 0.8, 8, 3
 #: 64 bits of shingle sets at similarity 0.8 differ in 9.7 bits with deviation 2.9; small sets spread further.
 RADIUS = 24
+#: Bytes of the shingle sets of a block; two blocks meet in a task.
+BLOCK_BYTES = 8 << 20
+#: Rows that go, up to which they are broadcast (24 bytes each).
+BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(1, 1 << 63, ROUTES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, ROUTES * MINIMA, dtype=np.uint64)
@@ -275,12 +312,15 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius
     Equal shingle sets are one class, whatever the number of copies. Bits of fingerprints that differ in 10 of 64 places
     can't route a class to the shards where its partners are; minima of its shingles under fixed permutations can. Each
     shard builds the BK-tree of its fingerprints, follows edges within the radius, and verifies what it meets on the
-    shingle sets themselves. Texts without words are one class. All columns stay; clashing names do no harm."""
+    shingle sets themselves. Texts without words are one class. What goes is told to the rows by broadcast, where its measured
+    number allows, so that the texts stay where they are; else by a shuffle. Rows alike in id and text take the least
+    hash of all that they hold. All columns stay; clashing names do no harm."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = keyed.select("doc_id", "text_key", F.lit(0).cast("long").alias("fingerprint"), F.lit(0).cast("long").alias("set_id"), F.lit(None).cast("array<long>").alias("routes"), F.lit(None).cast("binary").alias("shingles")).schema
     work, delete = staged(keyed.mapInArrow(_sketch_batches, kind))
-    routed = _meet(work.select("set_id", F.explode("routes").alias("key")).distinct(), "key", "set_id", block)
-    routed = cut(routed.select("task", "set_id"))
+    # a class counts by the bytes of its set, and as 1 / block of a block at least: texts of any length fill blocks alike
+    routes = work.select("set_id", F.explode("routes").alias("key"), F.greatest(F.octet_length("shingles"), F.lit(-(-BLOCK_BYTES // block))).cast("long").alias("size")).distinct()
+    routed = cut(_meet(routes, "key", "set_id", BLOCK_BYTES, F.col("size")).select("task", "set_id"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
     classes = cut(work.select("set_id", row.alias("row")).groupBy("set_id").agg(F.min("row").alias("row")))
     wanted = routed.select(F.col("set_id").alias("_set")).distinct()
@@ -289,11 +329,20 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius
     payload = work.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["_set"]).select("_set", "fingerprint", "shingles")
     dealt = routed.join(payload, F.col("set_id") == F.col("_set")).select("task", "set_id", "fingerprint", "shingles").repartition("task").sortWithinPartitions("task")
     roots = connected(dealt.mapInArrow(_similar_batches(radius, similarity), "a long, b long"))
-    delete()  # links and classes are checkpointed: what follows needs the texts, no longer the sketches
+    rows_known = cut(work.select("doc_id", "text_key"))
+    delete()  # links, classes and ids are checkpointed: what follows needs the texts, no longer the sketches
     classes = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(F.coalesce("root", "set_id").alias("root"), "row")
     keepers = classes.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
-    # the rows travel as structs, so that no column of docs can clash with the join's own
+    keepers = cut(keepers)
+    # losers are known by id and text; rows alike in both are told apart by a hash of all they hold, and the least stays
+    every = rows_known.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    named = every.join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    gone = cut(named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("_key").isNull().alias("_lost"), "n").where("_lost or n > 1"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
-    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
+    gone_side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    marked = rows.join(gone_side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")), "left")
+    alone = marked.where("_text is null").select("row.*")
+    if gone.where("not _lost").isEmpty():
+        return alone
+    alike = marked.where("_text is not null and not _lost").groupBy("id", "text_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return alone.unionByName(alike.select("row.*"))
