@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listrank.llm import decontam, mixing, quality_model, sharding, simhash
-from listrank.llm.common import shared_dir, table
+from listrank.llm.common import free_name, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    out = quality_model.classify(docs, table(spark, sf_dir, "labels"))
-    return out.where("quality.kept").drop("quality")
+    name = free_name(docs, "quality")
+    out = quality_model.classify(docs, table(spark, sf_dir, "labels"), column=name)
+    return out.where(F.col(name)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window. A document with one goes as a whole: cutting the spans would leave its
     context, and join words that did not stand together."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("found.spans") == 0).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), found_column=name)
+    return found.where(F.size(F.col(name)["spans"]) == 0).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
