@@ -32,9 +32,12 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     A self-join doubles the distance each round: (node, ancestor at 2^k, score between) joined with itself, so depth d
     takes log2(d) rounds. A leaf's score is the sum of scores on its path; ties go to the smaller leaf_id. The chosen
     paths are then filled in by the same jumps, largest first. Only ids and scores take part in the joins. A parent
-    that is null, missing or the node itself makes a root; nodes on or below a cycle have no root and form no path."""
+    that is null, missing or the node itself makes a root; nodes on or below a cycle have no root and form no path. Rows without
+    a node_id are no nodes: they are left out. A node_id that repeats in its tree raises."""
     n = F.col("score").cast("double")
-    nodes = cut(nodes.select("tree_id", F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), F.coalesce(n, F.lit(0.0)).alias("score")))
+    nodes = cut(nodes.select("tree_id", F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), F.coalesce(n, F.lit(0.0)).alias("score")).where("node_id is not null"))
+    if not nodes.groupBy("tree_id", "node_id").count().where("count > 1").isEmpty():
+        raise ValueError("node_id must be unique in its tree")
     known = nodes.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"))
     linked = nodes.where("parent_id <> node_id").join(known, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("parent_id") == F.col("_n")), "left_semi")
     jumps = [cut(linked.select("tree_id", "node_id", F.col("parent_id").alias("up")))]
@@ -74,7 +77,7 @@ def format_paths(messages: DataFrame, branches: int = 1, loss_role: str = "assis
 
     A turn is <turn>role, newline, text, </turn>, newline, with role and text escaped; unescape gives them back exactly.
     loss_spans are the texts of loss_role's turns as UTF-8 byte offsets into formatted, end exclusive. Null roles and
-    texts are empty; an empty table gives an empty table; node_id must be unique in its tree."""
+    texts are empty; an empty table gives an empty table; node_id is as reply_paths has it."""
     paths = reply_paths(messages.select("tree_id", "node_id", "parent_id", "score"), branches)
     texts = messages.select(F.col("tree_id").alias("_t"), F.col("node_id").cast("long").alias("_n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(texts, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("node_id") == F.col("_n")))

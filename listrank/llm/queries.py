@@ -167,4 +167,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::
 FROM d LEFT JOIN base USING (rid) LEFT JOIN s USING (rid)"""
 
 
-ORACLE_SQL = {"op2_decontaminate": _OP2, "op3_quality_rules": _op3(), "op4_line_dedup": _OP4, "op6_chat_format": _OP6, "op9_license_scan": _op9()}
+def _op10() -> str:
+    """The slot of each id, and the shard from the filled table as a list; the fill is a loop, held by a test."""
+    return f"""SELECT doc_id, slot, {sharding.lookup_table(sharding.SHARDS)!r}[slot + 1] AS shard
+FROM (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS})::INTEGER AS slot FROM documents)"""
+
+
+ORACLE_SQL = {"op10_sharding": _op10(), "op2_decontaminate": _OP2, "op3_quality_rules": _op3(), "op4_line_dedup": _OP4, "op6_chat_format": _OP6, "op9_license_scan": _op9()}

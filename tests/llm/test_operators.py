@@ -262,6 +262,21 @@ def test_boilerplate_by_brute_force(spark):
     assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_boilerplate_of_hot_hosts_and_odd_rows(spark, few, monkeypatch):
+    """One host with most pages, very long and repeated lines, no host at all, and names that clash; lists of hosts by
+    broadcast and by random copies."""
+    if not few:
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    long = "x" * 300_000
+    pages = [(i, "hot.com", ["top", f"own {i}", "top", long], 1, "a") for i in range(40)] + [(100 + i, "few.com", ["top", ""], 1, "b") for i in range(4)] + [(None, None, [long, long], 1, "c"), (7, "hot.com", [], None, None), (8, "hot.com", None, None, None)]
+    df = spark.createDataFrame(pages, "id long, host string, lines array<string>, pages int, _site string").repartition(4)
+    out = line_dedup.drop_boilerplate(df)
+    assert out.columns == [*df.columns, "kept_lines"]
+    want = Counter((i, h, None if x is None else tuple(y for y in x if h != "hot.com" or y not in ("top", long)), p, s) for i, h, x, p, s in pages)
+    assert Counter((r["id"], r["host"], None if r["kept_lines"] is None else tuple(r["kept_lines"]), r["pages"], r["_site"]) for r in out.collect()) == want
+
+
 def test_html_lines(spark):
     html = '<p>One <b>bold</b> line</p><script>var x="</p>";</script><ul><li> a </li><li></li></ul><!-- no -->tail'
     row = spark.createDataFrame([(html, "HTTP://A.Example.com:80/x?y"), (None, "nonsense")], "h string, u string").select(line_dedup.html_lines(F.col("h")), line_dedup.host_of(F.col("u"))).collect()
@@ -288,6 +303,75 @@ def test_classifier_keeps_prose_and_rejects_junk(spark):
     assert quality_model.classify(df, labels.where("false")).count() == len(out)
 
 
+def hierarchy(rows, weight):
+    """rows: (key, site, path, p). Posteriors and final scores of all rows, written out."""
+    sites, paths = {}, {}
+    for _, site, path, p in rows:
+        sites.setdefault(site, []).append(p)
+        paths.setdefault((site, path), []).append(p)
+    rate = sum(p for *_, p in rows) / len(rows)
+
+    def strength(groups):
+        groups = [g for g in groups.values() if len(g) >= 2]
+        if len(groups) < 2:
+            return 10.0
+        n, nn = sum(map(len, groups)), sum(len(g) ** 2 for g in groups)
+        within = sum(p * (1 - p) for g in groups for p in g) / n
+        spread = sum(len(g) * (sum(g) / len(g) - rate) ** 2 for g in groups)
+        between = (spread - (len(groups) - 1) * within) / max(n - nn / n, 1e-9)
+        return min(max(within / max(between, 1e-9), 1.0), 1e4)
+
+    k_site, k_path = strength(sites), strength(paths)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for key, site, path, p in rows:
+        s, q = sites[site], paths[site, path]
+        at_site = (sum(s) - p + k_site * rate) / (len(s) - 1 + k_site)
+        at_path = (sum(q) - p + k_path * at_site) / (len(q) - 1 + k_path)
+        score = 1 / (1 + math.exp(-(logit(p) + weight * (logit(at_path) - logit(rate)))))
+        out.append((key, at_site, at_path, score))
+    return out
+
+
+@pytest.mark.parametrize("few,keep_text", [(True, True), (False, True), (False, False)])
+def test_hierarchy_by_brute_force(spark, few, keep_text, monkeypatch):
+    """Every row's posteriors; groups by broadcast and by random copies; null, repeated and very long rows, clashing names."""
+    if not few:
+        monkeypatch.setattr(quality_model, "BROADCAST_ROWS", 0)
+    rng = random.Random(17)
+    rows = []
+    for i in range(300):
+        site = rng.choice(["big"] * 6 + ["b", "c", "d", None])
+        good = rng.random() < {"big": 0.9, "b": 0.2, "c": 0.6}.get(site, 0.5)
+        rows.append((i, prose(rng, rng.randint(1, 80)) if good else "$$$ BUY!!! 99% " * rng.randint(1, 40), rng.choice(["en", "de", None]), site, f"q{i}", "x"))
+    rows += [(900, None, None, "lonely", "q", "x"), (901, "", "xx", None, "q", "x"), (902, "w " * 200_000, "en", "big", "q", "x"), (None, "no id", "en", "b", "q", "x"), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality string, _site string").repartition(3)
+    labels = spark.createDataFrame([(i, int("BUY" not in rows[i][1])) for i in range(0, 300, 2)] + [(1, None), (None, 1), (4, 0)], "doc_id long, quality int")
+    out = quality_model.classify(df, labels, keep_text=keep_text, column="verdict")
+    assert out.columns == [c for c in df.columns if keep_text or c != "text"] + ["verdict"]
+    got = out.select("doc_id", "source", "lang", "verdict.*").collect()
+    assert len(got) == len(rows) and len({round(r["doc_score"], 6) for r in got}) > 100
+    want = hierarchy([(r["doc_id"], r["source"], r["lang"], r["doc_score"]) for r in got], quality_model.SITE_WEIGHT)
+    for r, (key, at_site, at_path, score) in zip(got, want, strict=True):
+        assert r["doc_id"] == key and (r["site_posterior"], r["path_posterior"], r["score"]) == pytest.approx((at_site, at_path, score), rel=1e-6)
+        assert r["kept"] == (r["score"] >= quality_model.KEEP_FROM)
+
+
+def test_features_by_brute_force(spark, docs, rows):
+    def want(text):
+        t = text or ""
+        low = t.lower()
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
+        lines, n, chars = t.split("\n"), max(len(w), 1), max(len(t), 1)
+        share = [len(re.findall(p, t)) / chars for p in (r"[#*$%&|<>^~_{}=+\[\]\\/@]", "[A-Z]", "[0-9]", "[!?]")]
+        return [math.log1p(len(w)), sum(map(len, w)) / n, *share, len(set(w)) / n, 1 - len(set(lines)) / max(len(lines), 1)]
+
+    got = quality_model.with_features(docs.select("doc_id", "text"), "x").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["x"] == pytest.approx(want(r["text"]))
+
+
 # 6
 
 
@@ -322,6 +406,21 @@ def test_reply_trees_by_brute_force(spark):
     assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want
 
 
+def test_nodes_without_or_with_repeated_ids(spark):
+    schema = "tree_id string, node_id long, parent_id long, score double"
+    out = chat_format.reply_paths(spark.createDataFrame([("t", 1, None, 1.0), ("t", None, 1, 9.0), ("t", 2, 1, None)], schema)).collect()
+    assert sorted((r["leaf_id"], r["node_id"], r["position"], r["branch_score"]) for r in out) == [(2, 1, 0, 1.0), (2, 2, 1, 1.0)]
+    with pytest.raises(ValueError):
+        chat_format.reply_paths(spark.createDataFrame([("t", 1, None, 1.0), ("t", 1, None, 2.0)], schema))
+
+
+def test_long_turns_and_clashing_names(spark):
+    rows = [(1, 0, "user", "<turn>" * 50_000, 1), (1, 1, "assistant", "é#" * 100_000, 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")
+    got = chat_format.format_paths(chat_format.conversation_nodes(df)).select(chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [tuple(t) for t in got["t"]] == [(r, x) for _, _, r, x, _ in rows] and got["loss"] == rows[1][3]
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     bits = ["<turn>", "</turn>\n", "\\", "\\l", "#", "###", "\n", "é", " ok ", "\\b", "assistant\n"]
