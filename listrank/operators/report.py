@@ -28,6 +28,20 @@ def mean_and_sd(summary: DataFrame) -> DataFrame:
     return summary.withColumn("shown", F.format_string("%.6f ± %.6f", "mean", "sd"))
 
 
+def policy_report(metrics: DataFrame, summary: DataFrame, policies: Sequence[str], value: str = "ndcg_at_k") -> DataFrame:
+    """One row per score: a column per policy, randomized_mean, randomized_sd, and both as text."""
+    pivot, seeds = policy_pivot(metrics, policies, value), mean_and_sd(summary.where(F.col("metric") == value))
+    seeds = seeds.select(F.col("score").alias("_score"), F.col("mean").alias("randomized_mean"), F.col("sd").alias("randomized_sd"), F.col("shown").alias("randomized"))
+    return pivot.join(seeds, F.col("score") == F.col("_score"), "left").drop("_score")
+
+
+def cross_domain(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("dataset", "score", "metric")) -> DataFrame:
+    """keys, stable, keyed, change, source: of several tables (name, keys with stable and keyed), the first that has a
+    key; change is keyed - stable."""
+    named = [t.select(*keys, "stable", "keyed", F.lit(name).alias("source")) for name, t in sources]
+    return prefer(named, keys).withColumn("change", F.col("keyed") - F.col("stable"))
+
+
 def prefer(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Rows of several tables of one schema; for a key, those of the first table that has it."""
     ranked = [t.withColumn("_rank", F.lit(i)) for i, t in enumerate(tables)]

@@ -7,8 +7,9 @@ run_summary.json, runtime_manifest.json, and manifest (digest and size of each o
 from __future__ import annotations
 
 import time
+import tomllib
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from listrank.sources import tables
 
 ANALYTIC = "analytic_uniform_tie_expectation"
 METRICS = "policy STRING, k INT, n_rows BIGINT, hit_at_k DOUBLE, ndcg_at_k DOUBLE, mrr DOUBLE, score STRING"
+SUMMARY = "metric STRING, mean DOUBLE, sd DOUBLE, se DOUBLE, min DOUBLE, max DOUBLE, score STRING"
 PER_SEED = "seed BIGINT, n_rows BIGINT, hit_at_k DOUBLE, ndcg_at_k DOUBLE, mrr DOUBLE, score STRING"
 
 
@@ -104,22 +106,29 @@ def _begin(spark: SparkSession, out: str, settings: dict, resume: bool) -> float
 
 def _evaluate(spark: SparkSession, out: str, families: dict[str, DataFrame], evaluation: Evaluation, counts: dict, began: float) -> dict:
     """Freezes each family's lists, evaluates what was frozen, and writes the run's tables."""
-    found, repeated, ties = [], [], []
+    found, repeated, ties, audits = [], [], [], []
     for score, candidates in families.items():
         path = f"{out}/candidates/score_name={score}"
         candidates.write.mode("overwrite").option("compression", "zstd").parquet(path)
         lists = spark.read.parquet(path)
         validate.require(lists, evaluation.k, diagnostics=True)
+        if short := sampling.incomplete_rows(lists, evaluation.negatives + 1).count():
+            raise ValueError(f"{score}: {short} lists have not {evaluation.negatives + 1} candidates")
         found.append(metrics_of(lists, score, evaluation))
         ties.append(diagnostics_of(lists, score, evaluation))
+        audits.append(diagnostics.contract_audit(lists, evaluation.k, evaluation.key_seed).withColumn("score", F.lit(score)))
         if evaluation.repetitions:
             repeated.append(metrics.repeated_metrics(lists, evaluation.repetitions, evaluation.seed_start, evaluation.k).withColumn("score", F.lit(score)))
     tables.write_table(_union(found), f"{out}/metrics_by_policy")
     tables.write_table(_union(ties), f"{out}/diagnostics")
+    tables.write_table(_union(audits), f"{out}/audit")
     if repeated:
         tables.write_table(_union(repeated).select(*[f.split()[0] for f in PER_SEED.split(", ")]), f"{out}/randomized")
         per_seed = spark.read.csv(f"{out}/randomized", header=True, schema=PER_SEED)
         tables.write_table(_union([metrics.summarize(per_seed.where(F.col("score") == s)).withColumn("score", F.lit(s)) for s in families]), f"{out}/randomized_summary")
+        summaries = spark.read.csv(f"{out}/randomized_summary", header=True, schema=SUMMARY)
+        recorded = spark.read.csv(f"{out}/metrics_by_policy", header=True, schema=METRICS)
+        tables.write_table(report.policy_report(recorded, summaries, (*map(str, KEYED), ANALYTIC)), f"{out}/policy_report")
     summary = {"dataset": counts, "score_families": list(families), "runtime_seconds": round(time.time() - began, 3)}
     tables.write_json(spark, f"{out}/run_summary.json", summary)
     tables.write_json(spark, f"{out}/runtime_manifest.json", tables.runtime_manifest())
@@ -212,7 +221,7 @@ def run_reviews(spark: SparkSession, reviews_path: str, items_path: str, out: st
         tables.write_json(spark, f"{out}/kcore_history.json", [{"round": r, "before": a, "after": b} for r, a, b in history])
         users, items = prep.dense_ids(core, "user_id", "user_idx"), prep.dense_ids(core, "item_id", "item_idx")
         numbered = core.join(users, "user_id").join(items, "item_id").withColumn("y", scaled_rating(F.col("rating")))
-        return prep.leave_last_two(numbered, "user_idx", ("ts", "item_id", "source_row")).repartitionByRange("user_idx").sortWithinPartitions("user_idx", "within_user_rank")
+        return tables.by_user(prep.leave_last_two(numbered, "user_idx", ("ts", "item_id", "source_row")))
 
     rows = tables.stored(spark, f"{out}/interactions", interactions, resume)
 
@@ -285,6 +294,43 @@ def replay(spark: SparkSession, out: str, tolerance: float = 1e-12) -> dict:
     return result
 
 
+def expected_figures(spark: SparkSession, out: str, path: str, tolerance: float) -> DataFrame:
+    """score, policy, quantity, expected, actual, abs_diff, status of each line of a CSV (score, policy, quantity,
+    value): quantity is a column of metrics_by_policy, or of diagnostics where policy is empty, or a count of the data
+    set where both are. Counts must be met exactly; a figure that the run has not is missing."""
+    wanted = spark.read.csv(path, header=True, schema="score STRING, policy STRING, quantity STRING, value DOUBLE")
+
+    def long(df: DataFrame, keys: list[str]) -> DataFrame:
+        values = [c for c, kind in df.dtypes if c not in ("score", "policy", "k") and kind != "string"]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).cast("double").alias("value")) for c in values])).alias("c")
+        kept = df.select(*[F.col(x) if x in keys else F.lit(None).cast("string").alias(x) for x in ("score", "policy")], cells)
+        return kept.select("score", "policy", "c.*")
+
+    found = long(spark.read.csv(f"{out}/metrics_by_policy", header=True, schema=METRICS), ["score", "policy"])
+    found = found.unionByName(long(spark.read.csv(f"{out}/diagnostics", header=True, inferSchema=True), ["score"]))
+    counts = [(None, None, name, float(n)) for name, n in tables.read_json(spark, f"{out}/run_summary.json")["dataset"].items()]
+    found = found.unionByName(spark.createDataFrame(counts, found.schema))
+    checked = report.within(wanted, found, ("score", "policy", "quantity"), tolerance)
+    exact = F.col("score").isNull() & F.col("policy").isNull() & (F.col("abs_diff") > 0)
+    return checked.withColumn("status", F.when(exact, "fail").otherwise(F.col("status")))
+
+
+def read_settings(path: str) -> dict:
+    """Settings of a run from a TOML file: tables evaluation, and ratings or reviews, of the fields of Evaluation, Ratings
+    and Reviews. A name that no field has raises."""
+    with open(path, "rb") as f:
+        said = tomllib.load(f)
+    kinds = {"evaluation": Evaluation, "ratings": Ratings, "reviews": Reviews}
+    out = {}
+    for name, values in said.items():
+        if name not in kinds:
+            raise ValueError(f"{path}: unknown table {name}")
+        if unknown := set(values) - {f.name for f in fields(kinds[name])}:
+            raise ValueError(f"{path}: unknown settings of {name}: {sorted(unknown)}")
+        out[name] = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+    return out
+
+
 def list_contract(lists: DataFrame, seed: int) -> DataFrame:
     """One row: n_rows, misplaced_positives (not exactly in slot 0), changed_rows (lists whose hardened order depends on
     slots)."""

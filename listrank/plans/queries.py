@@ -379,10 +379,15 @@ def analytic_expectation(spark, sf):
     return _rounded(metrics.expected_metrics(td.scored(spark, sf), K))
 
 
+_SEEDED = (
+    f"seeds AS (SELECT popular.*, unnest(range({SEED_START}, {SEED_START + SEEDS})) AS seed FROM popular), {_keys('sk', 'seeds', 'user_idx', 'item_idx', 'seed')}, "
+    f"sr AS (SELECT seed, is_positive, row_number() OVER (PARTITION BY seed, row_id ORDER BY score DESC, z, item_idx) AS r FROM sk), per AS (SELECT seed, avg(CASE WHEN r <= {K} THEN 1.0::DOUBLE ELSE 0 END) AS h, avg(CASE WHEN r <= {K} THEN 1.0::DOUBLE / log2(r + 1) ELSE 0 END) AS g, avg(1.0::DOUBLE / r) AS m FROM sr WHERE is_positive GROUP BY seed)"
+)
+
+
 @query(
     "SELECT metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(stddev_samp(v) / sqrt(count(*)), 6) AS se, round(min(v), 6) AS min, round(max(v), 6) AS max FROM (SELECT seed, unnest(['hit_at_k', 'ndcg_at_k', 'mrr']) AS metric, unnest([h, g, m]) AS v FROM per) GROUP BY metric",
-    extra=f"seeds AS (SELECT popular.*, unnest(range({SEED_START}, {SEED_START + SEEDS})) AS seed FROM popular), {_keys('sk', 'seeds', 'user_idx', 'item_idx', 'seed')}, "
-    f"sr AS (SELECT seed, is_positive, row_number() OVER (PARTITION BY seed, row_id ORDER BY score DESC, z, item_idx) AS r FROM sk), per AS (SELECT seed, avg(CASE WHEN r <= {K} THEN 1.0::DOUBLE ELSE 0 END) AS h, avg(CASE WHEN r <= {K} THEN 1.0::DOUBLE / log2(r + 1) ELSE 0 END) AS g, avg(1.0::DOUBLE / r) AS m FROM sr WHERE is_positive GROUP BY seed)",
+    extra=_SEEDED,
 )
 def randomized_summary(spark, sf):
     return _rounded(metrics.summarize(metrics.repeated_metrics(td.scored(spark, sf), SEEDS, SEED_START, K)))
@@ -622,29 +627,23 @@ def oof_logloss_brier_auc(spark, sf):
     return _rounded(groups.binary_report(tables.checkpointed(rows.join(rates, "source"))))
 
 
-@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS dot FROM embeddings", base=False)
-def embedding_dot_rank(spark, sf):
-    vectors = td.table(spark, sf, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()
-    if first is None or first[0] is None:
-        return vectors.select("vec_id", F.lit(None).cast("double").alias("dot"))
-    asked = first[0]
-    q = F.array(*[F.lit(float(x)) for x in asked])
-    dot = F.aggregate(F.zip_with(F.transform("embedding", lambda x: x.cast("double")), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return vectors.select("vec_id", F.round(dot, 4).alias("dot"))
-
-
 @query(
     """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dot FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL)
 SELECT query_id, vec_id, round(dot, 4) AS dot, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS rank FROM d""",
     base=False,
 )
-def embedding_search(spark, sf):
+def embedding_dot_rank(spark, sf):
     """All rows ranked for every query; queries are the rows whose id is divisible by 20."""
     vectors = td.table(spark, sf, "embeddings")
     return _rounded(search.rank_by_dot(vectors.where("vec_id % 20 = 0"), vectors), 4)
 
 
+@query("SELECT row_id, count(*) AS n FROM popular WHERE row_id % 5 <> 0 OR slot <> 7 GROUP BY row_id HAVING count(*) <> 31")
+def incomplete_lists(spark, sf):
+    """Lists of which every fifth lacks a candidate."""
+    return sampling.incomplete_rows(td.scored(spark, sf).where("row_id % 5 <> 0 OR slot <> 7"), td.NEGATIVES + 1)
+
+
 # reports
 
 
@@ -657,6 +656,19 @@ def policy_pivot_report(spark, sf):
     return _rounded(report.policy_pivot(parts[0].unionByName(parts[1]), list(_ORDERS)))
 
 
+@query(
+    f"""SELECT 'popularity' AS score, round(m.stable_positive_first, 6) AS stable_positive_first, round(m.hardened_uint64, 6) AS hardened_uint64, round(avg(g), 6) AS randomized_mean, round(stddev_samp(g), 6) AS randomized_sd,
+format('{{:.6f}} ± {{:.6f}}', avg(g), stddev_samp(g)) AS randomized FROM per, (SELECT avg(CASE WHEN stable_positive_first <= {K} THEN 1.0::DOUBLE / log2(stable_positive_first + 1) ELSE 0 END) AS stable_positive_first,
+avg(CASE WHEN hardened_uint64 <= {K} THEN 1.0::DOUBLE / log2(hardened_uint64 + 1) ELSE 0 END) AS hardened_uint64 FROM ranked_scored WHERE is_positive) m GROUP BY ALL""",
+    extra=f"{_ranked('scored')}, {_SEEDED}",
+)
+def policy_report(spark, sf):
+    lists = td.scored(spark, sf)
+    found = metrics.evaluate(lists).withColumn("score", F.lit("popularity"))
+    summary = metrics.summarize(metrics.repeated_metrics(lists, SEEDS, SEED_START, K)).withColumn("score", F.lit("popularity"))
+    return _rounded(report.policy_report(found, summary, ("stable_positive_first", "hardened_uint64")))
+
+
 def _gain(policy: str) -> str:
     return f"avg(CASE WHEN {policy} <= {K} THEN 1.0::DOUBLE / log2({policy} + 1) ELSE 0 END)"
 

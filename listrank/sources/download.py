@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import shutil
 import urllib.request
 import zipfile
 
 CHUNK = 1 << 20
 
+#: Where the raw data sets are, the digest of the archive, and the files that it must hold.
+ARCHIVES = {
+    "ratings": {
+        "url": "https://files.grouplens.org/datasets/movielens/ml-25m.zip", "md5_url": "https://files.grouplens.org/datasets/movielens/ml-25m.zip.md5",
+        "md5": "6b51fb2759a8657d3bfcbfc42b592ada", "folder": "ml-25m", "files": ("ratings.csv", "genome-tags.csv", "genome-scores.csv"),
+    },
+}
+#: Files without a published digest, whose digests a run records.
+FILES = {
+    "reviews": (
+        "https://mcauleylab.ucsd.edu/public_datasets/data/amazon_2023/raw/review_categories/Beauty_and_Personal_Care.jsonl.gz",
+        "https://mcauleylab.ucsd.edu/public_datasets/data/amazon_2023/raw/meta_categories/meta_Beauty_and_Personal_Care.jsonl.gz",
+    ),
+}
+
 
 def digest(path: str, kind: str = "sha256") -> str:
     h = hashlib.new(kind)
@@ -48,3 +65,34 @@ def unpack(archive: str, folder: str) -> list[str]:
                 raise ValueError(f"{archive}: {n} lies outside the folder")
         z.extractall(top)
     return names
+
+
+def data_set(name: str, folder: str, force: bool = False, archives: dict | None = None, files: dict | None = None) -> dict:
+    """Fetches a data set into the folder, and returns and writes (download.json) its files' sizes and digests. An
+    archive's published digest must be the pinned one, and its own; files that it lacks raise."""
+    archives, files = ARCHIVES if archives is None else archives, FILES if files is None else files
+    if name in archives:
+        known = archives[name]
+        listed = os.path.join(folder, os.path.basename(known["md5_url"]))
+        fetch(known["md5_url"], listed, force=force)
+        with open(listed, encoding="utf-8", errors="replace") as f:
+            published = re.search(r"\b[0-9a-fA-F]{32}\b", f.read())
+        if not published or published[0].lower() != known["md5"]:
+            raise ValueError(f"{name}: the published digest is {published and published[0]}, not {known['md5']}")
+        archive = os.path.join(folder, os.path.basename(known["url"]))
+        fetch(known["url"], archive, known["md5"], "md5", force)
+        paths = [os.path.join(folder, known["folder"], n) for n in known["files"]]
+        if force or not all(map(os.path.exists, paths)):
+            unpack(archive, folder)
+        if missing := [p for p in paths if not os.path.exists(p)]:
+            raise ValueError(f"{name}: the archive lacks {missing}")
+    elif name in files:
+        paths = [os.path.join(folder, os.path.basename(url)) for url in files[name]]
+        for url, path in zip(files[name], paths, strict=True):
+            fetch(url, path, force=force)
+    else:
+        raise ValueError(f"unknown data set {name}")
+    found = {"name": name, "files": [{"path": os.path.relpath(p, folder), "bytes": os.path.getsize(p), "sha256": digest(p)} for p in paths]}
+    with open(os.path.join(folder, "download.json"), "w", encoding="utf-8") as f:
+        json.dump(found, f, indent=2, sort_keys=True)
+    return found

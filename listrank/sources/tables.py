@@ -106,9 +106,9 @@ def tag_attributes(scores: DataFrame, tags: DataFrame, names: list[str], thresho
     return chosen.groupBy("movieId").agg(*[F.max(F.when((F.col("tagId") == ids[n]) & (F.col("relevance") >= threshold), 1.0).otherwise(0.0)).alias(f"attr_{i}") for i, n in enumerate(names)])
 
 
-def write_split(df: DataFrame, path: str) -> None:
-    """Zstd Parquet, ranges of users, each sorted by user and time rank."""
-    df.repartitionByRange("user_idx").sortWithinPartitions("user_idx", "within_user_rank").write.mode("overwrite").option("compression", "zstd").parquet(path)
+def by_user(df: DataFrame) -> DataFrame:
+    """Split rows as they are written: ranges of users, each sorted by user and time rank."""
+    return df.repartitionByRange("user_idx").sortWithinPartitions("user_idx", "within_user_rank")
 
 
 def freeze(candidates: DataFrame, path: str, score: str) -> None:

@@ -119,6 +119,32 @@ def test_download(tmp_path):
         download.unpack(str(tmp_path / "b.zip"), str(tmp_path / "got"))
 
 
+def test_data_sets(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/x.csv", "a\n1\n")
+    md5 = hashlib.md5((tmp_path / "a.zip").read_bytes()).hexdigest()
+    (tmp_path / "a.zip.md5").write_text(f"MD5 (a.zip) = {md5}\n")
+    (tmp_path / "r.gz").write_text("r")
+    known = {"x": {"url": (tmp_path / "a.zip").as_uri(), "md5_url": (tmp_path / "a.zip.md5").as_uri(), "md5": md5, "folder": "d", "files": ("x.csv",)}}
+    to = str(tmp_path / "raw")
+    got = download.data_set("x", to, archives=known)
+    assert got["files"] == [{"path": "d/x.csv", "bytes": 4, "sha256": hashlib.sha256(b"a\n1\n").hexdigest()}] and json.loads((tmp_path / "raw/download.json").read_text()) == got
+    assert download.data_set("r", to, files={"r": ((tmp_path / "r.gz").as_uri(),)})["files"][0]["bytes"] == 1
+    for change in ({"md5": "0" * 32}, {"files": ("x.csv", "y.csv")}):
+        with pytest.raises(ValueError):
+            download.data_set("x", to, force=True, archives={"x": known["x"] | change})
+    with pytest.raises(ValueError):
+        download.data_set("none", to)
+
+
+def test_cross_domain(spark):
+    def t(*rows):
+        return spark.createDataFrame(rows, "dataset string, score string, metric string, stable double, keyed double")
+
+    out = report.cross_domain([("new", t(("a", "s", "n", 0.5, 0.25))), ("old", t(("a", "s", "n", 0.9, 0.1), ("b", "s", "n", 0.75, 0.5)))]).collect()
+    assert {(r["dataset"], r["change"], r["source"]) for r in out} == {("a", -0.25, "new"), ("b", -0.25, "old")}
+
+
 def test_reports(spark):
     metrics = spark.createDataFrame([("s", "a", 0.8474), ("s", "b", 0.1702)], "score string, policy string, ndcg_at_k double")
     assert report.change_table(metrics, "a", "b").first()["change"] == pytest.approx(-0.6772)
@@ -134,10 +160,30 @@ def test_command_line(spark, tmp_path, capsys):
     out = str(tmp_path / "run")
     run = ["reviews", "--reviews", "r", "--items", "i", "--out", out, "--stage", "model", "--no-group-control", "--most-rows", "5"]
     args = command.parser().parse_args(run)
-    assert (args.stage, args.most_rows, args.no_group_control, args.negatives, args.k) == ("model", 5, True, 30, 10)
+    assert (args.stage, args.most_rows, args.no_group_control, args.negatives, args.k) == ("model", 5, True, None, None)
     write_ratings(tmp_path)
     run = ["ratings", "--folder", str(tmp_path), "--out", out, "--tags", "action", "--negatives", "1", "--k", "1", "--repetitions", "0"]
     assert command.execute(spark, command.parser().parse_args(run))[1]
+    assert tables.read_json(spark, f"{out}/settings.json")["evaluation"]["key_seed"] == 20_260_318
+    (tmp_path / "s.toml").write_text('[evaluation]\nnegatives = 1\nk = 1\nrepetitions = 2\n[ratings]\ntags = ["action"]\nmost_users = 3\n')
+    again = ["ratings", "--folder", str(tmp_path), "--out", out, "--settings", str(tmp_path / "s.toml"), "--repetitions", "1"]
+    assert command.execute(spark, command.parser().parse_args(again))[1]
+    used = tables.read_json(spark, f"{out}/settings.json")
+    assert (used["evaluation"]["repetitions"], used["evaluation"]["negatives"], used["ratings"]["most_users"], used["ratings"]["tags"]) == (1, 1, 3, ["action"])
+    for wrong in ("[other]\nx = 1\n", "[evaluation]\nnegative = 1\n"):
+        (tmp_path / "w.toml").write_text(wrong)
+        with pytest.raises(ValueError):
+            experiments.read_settings(str(tmp_path / "w.toml"))
+    shown = spark.read.csv(f"{out}/policy_report", header=True).collect()
+    assert {r["score"] for r in shown} == {"raw_count", "centered_count", "popularity"} and all(" ± " in r["randomized"] for r in shown)
+    hit = next(r for r in spark.read.csv(f"{out}/metrics_by_policy", header=True, schema=experiments.METRICS).collect() if r["score"] == "popularity" and r["policy"] == "hardened_uint64")["hit_at_k"]
+    users, lists = tables.read_json(spark, f"{out}/run_summary.json")["dataset"]["n_users"], spark.read.csv(f"{out}/audit", header=True, inferSchema=True).first()["n_rows"]
+    (tmp_path / "e.csv").write_text(f"score,policy,quantity,value\npopularity,hardened_uint64,hit_at_k,{hit + 0.001}\npopularity,,n_rows,{lists}\n,,n_users,{users}\n")
+    ask = ["expected", "--out", out, "--figures", str(tmp_path / "e.csv")]
+    assert command.execute(spark, command.parser().parse_args(ask))[1]
+    assert not command.execute(spark, command.parser().parse_args([*ask, "--tolerance", "0.0001"]))[1]
+    (tmp_path / "e.csv").write_text(f"score,policy,quantity,value\n,,n_users,{users + 0.001}\npopularity,none,mrr,0.5\n")
+    assert sorted(r["status"] for r in command.execute(spark, command.parser().parse_args(ask))[0]) == ["fail", "missing"]
     for name in ("verify", "manifest"):
         assert command.execute(spark, command.parser().parse_args([name, "--out", out]))[1], name
     assert command.execute(spark, command.parser().parse_args(["smoke"]))[1]

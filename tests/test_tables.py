@@ -6,6 +6,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,43 @@ def test_binary_report_and_propensity(spark):
     assert p.count() == 120 and groups.binary_report(p).first()["auroc"] > 0.95
 
 
+def test_propensity_by_second_implementation(spark):
+    """Counts, weights and the penalized fit in numpy, by Newton's method, on the same folds."""
+    rng = random.Random(9)
+    pool = ["cream", "soap", "oil", "water", "aloe", "x", "shea"]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(4, 12))) + (" vegan" if (i % 3 == 0) != (i % 10 == 0) else ""), int(i % 3 == 0)) for i in range(90)]
+    got = {r["item_idx"]: r for r in propensity.out_of_fold(spark.createDataFrame(items, "item_idx long, item_text string, label int"), "label", ("shea",)).collect()}
+    assert len(got) == 90 and Counter((r["fold"], r["label"]) for r in got.values()) == {(f, y): 10 if y else 20 for f in range(3) for y in (0.0, 1.0)}
+
+    def terms(t):
+        w = [x for x in t.replace("shea", " ").split() if len(x) > 1]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    for fold in range(3):
+        train, rest = ([x for x in items if (got[x[0]]["fold"] == fold) == out] for out in (False, True))
+        df = Counter(t for _, x, _ in train for t in set(terms(x)))
+        at = {t: k for k, t in enumerate(sorted(t for t in df if df[t] >= 2))}
+        idf = np.array([np.log((len(train) + 1) / (df[t] + 1)) for t in at])
+
+        def features(rows, at=at, idf=idf):
+            x = np.zeros((len(rows), len(at)))
+            for i, (_, text_of, _) in enumerate(rows):
+                for t in terms(text_of):
+                    if t in at:
+                        x[i, at[t]] += 1
+            x *= idf
+            return np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.ones((len(rows), 1))])
+
+        x, y = features(train), np.array([label for *_, label in train], float)
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+        w, ridge = np.zeros(x.shape[1]), np.append(np.full(len(at), 1 / 3), 0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-12), x.T @ (weight * (p - y)) + ridge * w)
+        for (i, *_), p in zip(rest, 1 / (1 + np.exp(-features(rest) @ w)), strict=True):
+            assert got[i]["p"] == pytest.approx(p, abs=2e-3)
+
+
 def test_propensity_query_fits_the_whole_vocabulary(monkeypatch, spark):
     asked = {}
     whole = inspect.signature(propensity.out_of_fold)
@@ -187,9 +225,8 @@ def test_vector_search_ranks_all_rows_for_all_queries(monkeypatch, spark):
         want |= {(q, i): (-d, k) for k, (d, i) in enumerate(dots, 1)}
     assert got == want
     assert search.rank_by_dot(df.where("false"), df).count() == 0
-    assert "embedding_search" in queries.QUERIES
     monkeypatch.setattr(queries.td, "table", lambda *_: df)
-    assert {r["dot"] for r in queries.embedding_dot_rank(spark, "").collect()} == {None}
+    assert {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in queries.embedding_dot_rank(spark, "").collect()} == want
 
 
 def test_types_beyond_the_columns_raise(monkeypatch, spark):
