@@ -155,11 +155,15 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _large(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame:
-    """_key, _n (tasks' worth) of the keys whose values' sizes sum to more than `most`: partial sums before the shuffle,
-    and no more keys than the whole size divided by `most`, so that they are broadcast."""
+def _large(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame | None:
+    """_key, _n (tasks' worth) of the keys whose values' sizes sum to more than `most`, for a broadcast; None if there are
+    none. Sums are partial before the shuffle; keys are no more than the whole size divided by `most`, and counted."""
     sums = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(size).alias("_sum"))
-    return cut(sums.where(F.col("_sum") > most).select("_key", F.ceil(F.col("_sum") / F.lit(most)).alias("_n")))
+    large = cut(sums.where(F.col("_sum") > most).select("_key", F.ceil(F.col("_sum") / F.lit(most)).alias("_n")))
+    n = large.count()
+    if n > BROADCAST_KEYS:
+        raise ValueError(f"over {BROADCAST_KEYS} keys of more than {most}: give larger blocks")
+    return F.broadcast(large) if n else None
 
 
 def _meet(rows: DataFrame, key: str, value: str, most: int, size: Column | None = None) -> DataFrame:
@@ -169,11 +173,10 @@ def _meet(rows: DataFrame, key: str, value: str, most: int, size: Column | None
     counted in a window, so that no hot key comes to one task."""
     size = F.lit(1) if size is None else size
     large = _large(rows, key, size, most)
-    if large.count() > BROADCAST_KEYS:
-        raise ValueError(f"over {BROADCAST_KEYS} keys of more than {most}: give larger blocks")
-    large = F.broadcast(large)
-    few = rows.join(large, F.col(key) == F.col("_key"), "left_anti").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n > 1")
-    few = few.withColumn("task", F.xxhash64(key)).drop("_n")
+    few = rows if large is None else rows.join(large, F.col(key) == F.col("_key"), "left_anti")
+    few = few.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n > 1").withColumn("task", F.xxhash64(key)).drop("_n")
+    if large is None:
+        return few
     mine = F.pmod(F.xxhash64(F.col(value)), F.col("_n"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     many = rows.join(large, F.col(key) == F.col("_key")).withColumn("_pair", F.explode(pair))
@@ -209,20 +212,16 @@ def hamming_links(distinct: DataFrame, radius: int = 2, block: int = BLOCK) -> D
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fingerprint")
     # a shard over the block is dealt again: two within 2 bits agree on two of four parts of the 32 bits that are left,
     # so that a shard ends with 16 free bits, 65,536 fingerprints at most, whatever its copies or its size before
-    large = _large(rows, "key", F.lit(1), block)
-    if large.count() > BROADCAST_KEYS:
-        raise ValueError(f"over {BROADCAST_KEYS} shards of more than {block} fingerprints: give larger blocks")
-    large = F.broadcast(large.select("_key"))
-    whole = rows.join(large, F.col("key") == F.col("_key"), "left_anti")
-    parts = []
-    for k, (i, j) in enumerate(combinations(range(4), 2)):
-        rest = [b for b in range(4) if b not in (i, j)]
-        bytes_left = [F.shiftrightunsigned(fp, 16 * b + 8 * half).bitwiseAND(F.lit(0xFF)) for b in rest for half in (0, 1)]
-        finer = [F.xxhash64(F.col("key"), F.lit(n), bytes_left[x], bytes_left[y]) for n, (x, y) in enumerate(combinations(range(4), 2))]
-        own = rows.where(F.shiftright("key", 32) == k).join(large, F.col("key") == F.col("_key"), "left_semi")
-        parts.append(own.select(F.explode(F.array(*finer)).alias("key"), "fingerprint"))
-    for part in parts:
-        whole = whole.unionByName(part)
+    large, whole = _large(rows, "key", F.lit(1), block), rows
+    if large is not None:
+        large = large.select("_key")
+        whole = rows.join(large, F.col("key") == F.col("_key"), "left_anti")
+        hot = rows.join(large, F.col("key") == F.col("_key"), "left_semi")
+        for k, (i, j) in enumerate(combinations(range(4), 2)):
+            rest = [b for b in range(4) if b not in (i, j)]
+            bytes_left = [F.shiftrightunsigned(fp, 16 * b + 8 * half).bitwiseAND(F.lit(0xFF)) for b in rest for half in (0, 1)]
+            finer = [F.xxhash64(F.col("key"), F.lit(n), bytes_left[x], bytes_left[y]) for n, (x, y) in enumerate(combinations(range(4), 2))]
+            whole = whole.unionByName(hot.where(F.shiftright("key", 32) == k).select(F.explode(F.array(*finer)).alias("key"), "fingerprint"))
     dealt = _meet(whole, "key", "fingerprint", block).select("task", "fingerprint").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(_link_batches(radius), "a long, b long")
 
