@@ -16,6 +16,8 @@ from .common import cut, staged
 SEED = 42
 #: Fingerprints of one shard that meet in one task; larger shards are cut in blocks, and each pair of blocks meets.
 BLOCK = 2_048
+#: The same of a route of near-duplicate classes, where a pair costs a comparison of sets.
+NEAR_BLOCK = 512
 #: Keys of more than a block that are broadcast at most.
 BROADCAST_KEYS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -304,7 +306,7 @@ def _similar_batches(radius: int, similarity: float):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = NEAR_BLOCK) -> DataFrame:
     """docs with one row of each group of near duplicates: of texts linked by 5-word shingle sets of Jaccard similarity
     `similarity` or more, the row with the smallest doc_id stays (null last; repeated rows: one of them).
 
