@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread_join
 
-#: A line on more than this share of its host's pages, and on so many pages at least, is boilerplate.
-RATIO, LEAST_PAGES = 0.3, 5
+#: A line on more than this share of its host's pages, and on so many pages at least, is boilerplate. Two pages are what
+#: repetition needs; on hosts of 20 pages or more, nearly all lines that repeat by chance stand on less than this share.
+RATIO, LEAST_PAGES = 0.2, 2
 _HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 _BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|br|tr|td|th|table|article|nav|header|footer|section|body|html|head|title)\b[^>]*>"
 

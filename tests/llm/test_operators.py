@@ -248,16 +248,17 @@ def test_junk_diverges(spark):
 # 4
 
 
-def test_boilerplate_by_brute_force(spark):
+@pytest.mark.parametrize("ratio,least", [(0.3, 5), (line_dedup.RATIO, line_dedup.LEAST_PAGES)])
+def test_boilerplate_by_brute_force(spark, ratio, least):
     rng = random.Random(6)
     pages = [(i, rng.choice(["a.com", "a.com", "b.org", None]), [rng.choice(["menu", "foot", f"own {i}", "menu"]) for _ in range(rng.randint(0, 5))]) for i in range(120)]
     pages += [(500, "solo.net", ["menu"]), (501, "a.com", None), pages[0], (None, "a.com", ["menu", "kept"])]
     df = spark.createDataFrame([(*p, "x") for p in pages], "id long, host string, lines array<string>, marks string")
     total = Counter(h for _, h, _ in pages)
     seen = Counter((h, x) for _, h, ls in pages for x in set(ls or []))
-    drop = {(h, x) for (h, x), n in seen.items() if h and n >= 5 and n > 0.3 * total[h]}
+    drop = {(h, x) for (h, x), n in seen.items() if h and n >= least and n > ratio * total[h]}
     want = Counter((i, h, None if ls is None else tuple(x for x in ls if (h, x) not in drop)) for i, h, ls in pages)
-    got = Counter((r["id"], r["host"], None if r["kept_lines"] is None else tuple(r["kept_lines"])) for r in line_dedup.drop_boilerplate(df).collect())
+    got = Counter((r["id"], r["host"], None if r["kept_lines"] is None else tuple(r["kept_lines"])) for r in line_dedup.drop_boilerplate(df, ratio, least).collect())
     assert got == want and drop
     assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
 
@@ -271,7 +272,7 @@ def test_boilerplate_of_hot_hosts_and_odd_rows(spark, few, monkeypatch):
     long = "x" * 300_000
     pages = [(i, "hot.com", ["top", f"own {i}", "top", long], 1, "a") for i in range(40)] + [(100 + i, "few.com", ["top", ""], 1, "b") for i in range(4)] + [(None, None, [long, long], 1, "c"), (7, "hot.com", [], None, None), (8, "hot.com", None, None, None)]
     df = spark.createDataFrame(pages, "id long, host string, lines array<string>, pages int, _site string").repartition(4)
-    out = line_dedup.drop_boilerplate(df)
+    out = line_dedup.drop_boilerplate(df, least_pages=5)
     assert out.columns == [*df.columns, "kept_lines"]
     want = Counter((i, h, None if x is None else tuple(y for y in x if h != "hot.com" or y not in ("top", long)), p, s) for i, h, x, p, s in pages)
     assert Counter((r["id"], r["host"], None if r["kept_lines"] is None else tuple(r["kept_lines"]), r["pages"], r["_site"]) for r in out.collect()) == want
