@@ -125,10 +125,24 @@ def write_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+#: Bytes of a file up to which a task hashes it as one value.
+WHOLE_FILE = 1 << 30
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256 of every file below a folder."""
+    """path, size, sha256 of every file below a folder that holds a byte. Files are hashed by tasks, one a value; the few that are larger
+    than a value may be are read as streams by the driver, whatever their size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= WHOLE_FILE).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = []
+    for r in files.where(F.col("length") > WHOLE_FILE).select("path", "length").collect():
+        store, at = _file_system(spark, r["path"])
+        stream = store.open(at)
+        try:
+            large.append((r["path"], r["length"], spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(large, "path string, size long, sha256 string")) if large else small
 
 
 def table_checksum(df: DataFrame) -> DataFrame:

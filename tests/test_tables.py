@@ -255,6 +255,14 @@ def test_lines_are_numbered_by_file_name_and_place(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
 
 
+def test_manifest_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    for name, size in (("a", 3), ("b c", 900), ("d", 0)):
+        (tmp_path / name).write_bytes(name.encode()[:1] * size)
+    want = sorted((r["path"], r["size"], r["sha256"]) for r in tables.file_manifest(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(tables, "WHOLE_FILE", 100)
+    assert sorted((r["path"], r["size"], r["sha256"]) for r in tables.file_manifest(spark, str(tmp_path)).collect()) == want and len(want) == 2
+
+
 def test_sources_and_reports(spark, tmp_path):
     reviews = [{"user_id": "u", "parent_asin": "i", "rating": 5, "timestamp": 10}, {"user_id": "u", "parent_asin": "i", "rating": "4.0", "timestamp": 11.9}, {"user_id": None, "parent_asin": "i", "rating": 1, "timestamp": 1}, {"user_id": "u", "parent_asin": "i", "rating": "x", "timestamp": 1}]
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
