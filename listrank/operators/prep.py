@@ -79,6 +79,12 @@ def global_time_split(df: DataFrame, *order: Column, train: float = 0.8, validat
     return placed.withColumn("split", F.when(F.col("position") < int(n * train), "train").when(F.col("position") < int(n * (train + validation)), "validation").otherwise("test"))
 
 
+def first_targets(test: DataFrame, most_users: int, user: str = "user_idx", item: str = "item_idx", position: str = "position") -> DataFrame:
+    """user, item, position of the first row of each user, for the first most_users users by that position."""
+    first = test.groupBy(user).agg(F.min_by(F.struct(item, position), position).alias("_first"))
+    return first.orderBy(f"_first.{position}").limit(most_users).select(user, f"_first.{item}", f"_first.{position}")
+
+
 def item_statistics(df: DataFrame, item: str = "item_id", user: str = "user_id", rating: str = "rating", ts: str = "ts") -> DataFrame:
     return df.groupBy(item).agg(F.count(F.lit(1)).alias("interaction_count"), F.countDistinct(user).alias("user_count"), F.avg(rating).alias("mean_review_rating"), F.max(ts).alias("latest_timestamp"))
 

@@ -182,8 +182,7 @@ def run_ratings(spark: SparkSession, folder: str, out: str, ratings: Ratings = R
     rows = tables.stored(spark, f"{out}/interactions", interactions, resume)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     items = tables.stored(spark, f"{out}/items", lambda: rows.select("movieId", "item_idx").distinct().join(movies, "movieId"), resume)
-    first = test.groupBy("user_idx").agg(F.min_by(F.struct("item_idx", "position"), "position").alias("first"))
-    targets = first.orderBy("first.position").limit(ratings.most_users).select(F.col("user_idx").alias("row_id"), "user_idx", "first.item_idx")
+    targets = prep.first_targets(test, ratings.most_users).select(F.col("user_idx").alias("row_id"), "user_idx", "item_idx")
     targets = tables.stored(spark, f"{out}/targets", lambda: targets, resume)
     n_items = items.count()
     lists = tables.stored(spark, f"{out}/lists", lambda: sampling.sample_candidates(targets, sampling.history(train), n_items, evaluation.negatives, evaluation.sample_seed, unique=True), resume)

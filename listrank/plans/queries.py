@@ -538,6 +538,79 @@ def details_and_lists(spark, sf):
     return td.table(spark, sf, "part").select("p_partkey", F.array_join(pairs, ";").alias("details"), F.size(text.text_list(said)).alias("n_listed"))
 
 
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 500 THEN regexp_matches(lower(coalesce(text, '')), '" + "|".join(f"(?:{p})" for p in _LICENSE) + "')::INTEGER END AS label FROM documents", base=False)
+def regex_labels_of_long_texts(spark, sf):
+    """No label where a text is too short to tell."""
+    return td.table(spark, sf, "documents").select("doc_id", text.has_label(F.col("text"), _LICENSE, 500).alias("label"))
+
+
+@query("""SELECT p_partkey, '["' || p_type || '","' || p_brand || '"]' AS listed FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT p_partkey, '[]' FROM part WHERE p_size % 3 = 0""", base=False)
+def categories_as_json(spark, sf):
+    listed = F.when(F.col("p_size") % 3 != 0, F.array("p_type", "p_brand"))
+    return td.table(spark, sf, "part").select("p_partkey", tables.categories_json(listed).alias("listed"))
+
+
+@query(
+    """SELECT movieId, max((tagId = 3 AND relevance >= 0.7)::INTEGER)::DOUBLE AS attr_0, max((tagId = 1 AND relevance >= 0.7)::INTEGER)::DOUBLE AS attr_1
+FROM (SELECT l_partkey AS movieId, l_suppkey % 5 AS tagId, l_discount * 10 AS relevance FROM lineitem) WHERE tagId IN (1, 3) GROUP BY movieId""",
+    base=False,
+)
+def tag_attributes(spark, sf):
+    """Relevances of items to tags as 0/1 columns of the chosen tags, in their order."""
+    found = td.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("movieId"), (F.col("l_suppkey") % 5).alias("tagId"), (F.col("l_discount") * 10).alias("relevance"))
+    tags = spark.createDataFrame([(i, f"tag {i}") for i in range(5)], "tagId int, tag string")
+    return tables.tag_attributes(found, tags, ["tag 3", "tag 1"])
+
+
+def _as_lines(spark, rows: DataFrame) -> str:
+    """A folder with the rows as lines of JSON."""
+    path = f"{tables.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT o_custkey::VARCHAR AS user_id, o_orderpriority AS item_id, o_totalprice AS rating, o_orderkey AS ts FROM orders WHERE o_orderkey % 10 <> 0", base=False)
+def reviews_from_json(spark, sf):
+    """Orders written as lines of JSON, every tenth with no number or none at all as its rating, and read as reviews."""
+    odd = F.when(F.col("o_orderkey") % 20 == 0, "n/a").when(F.col("o_orderkey") % 10 == 0, None).otherwise(F.col("o_totalprice").cast("string"))
+    rows = td.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("parent_asin"), odd.alias("rating"), F.col("o_orderkey").alias("timestamp"))
+    return tables.read_reviews(spark, _as_lines(spark, rows)).select("user_id", "item_id", "rating", "ts")
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS item_id, p_name AS title, round(CASE p_size % 3 WHEN 0 THEN -p_retailprice WHEN 1 THEN p_retailprice END, 6) AS price_num,
+trim(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_brand || ' size ' || p_size || ' of deep ' || p_type)) AS item_text FROM part""",
+    base=False,
+)
+def items_from_json(spark, sf):
+    """Parts written as lines of JSON with nested fields and prices as numbers, texts and words, and read as items."""
+    kind, price = F.col("p_size") % 3, F.col("p_retailprice")
+    details = F.struct(F.col("p_size").alias("Size"), F.struct(F.array(F.col("p_type")).alias("Deep")).alias("of"))
+    rows = td.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("parent_asin"), F.col("p_name").alias("title"), F.col("p_brand").alias("store"), F.array("p_type", F.lit(None).cast("string"), "p_brand").alias("categories"), details.alias("details"), kind.alias("kind"), price.alias("p"))
+    own = [c for c in rows.columns if c not in ("kind", "p")]
+    shared = _as_lines(spark, rows.where("kind = 0").select(*own, (-F.col("p")).alias("price")))
+    texts = _as_lines(spark, rows.where("kind = 1").select(*own, F.concat(F.lit("$"), F.col("p").cast("string")).alias("price")))
+    words = _as_lines(spark, rows.where("kind = 2").select(*own, F.lit("none").alias("price")))
+    read = tables.read_items(spark, shared).unionByName(tables.read_items(spark, texts)).unionByName(tables.read_items(spark, words))
+    return _rounded(read.select("item_id", "title", "price_num", "item_text"))
+
+
+@query("SELECT o_custkey AS user_id, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1", base=False)
+def last_row_of_each(spark, sf):
+    rows = td.table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey", "o_orderpriority")
+    return prep.last_wins(rows, ("user_id",), ("o_orderdate", "o_orderkey")).select("user_id", "o_orderkey", "o_orderpriority")
+
+
+@query(
+    "SELECT user_id, event_id, position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY position) AS rn FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () AS n FROM events) WHERE position >= floor(n * 0.9)) WHERE rn = 1 ORDER BY position LIMIT 50",
+    base=False,
+)
+def first_test_users(spark, sf):
+    """The first 50 users of the test part in time, each with its first row there."""
+    placed = prep.global_time_split(td.table(spark, sf, "events").select("event_id", "user_id", "ts"), F.col("ts"), F.col("event_id"))
+    return prep.first_targets(placed.where("split = 'test'"), 50, "user_id", "event_id").select("user_id", "event_id", "position")
+
+
 # groups
 
 _GROUPS = f"""gs AS (SELECT item_idx, unnest(['brand::' || p_brand, 'type::' || p_type, {_BUCKET}]) AS "group" FROM parts)"""
@@ -696,7 +769,7 @@ def list_contract(spark, sf):
 def replay_compare(spark, sf):
     """Freezes scored lists, reads them again, and compares the metrics of both."""
     lists = td.scored(spark, sf)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/frozen-{uuid.uuid4().hex}"
+    path = f"{tables.shared_folder(spark)}/frozen-{uuid.uuid4().hex}"
     tables.freeze(lists, path, "popularity")
     again = metrics.evaluate(tables.frozen(spark, path).where("score_name = 'popularity'").drop("score_name"))
     return _rounded(again.join(report.compare(metrics.evaluate(lists), again, ("policy", "k")), ["policy", "k"]))
@@ -708,3 +781,41 @@ def propensity_tfidf_lr(spark, sf):
     docs = td.table(spark, sf, "documents").join(td.table(spark, sf, "labels"), "doc_id")
     items = docs.select(F.col("doc_id").alias("item_idx"), F.col("text").alias("item_text"), F.col("quality").alias("good"))
     return _rounded(propensity.out_of_fold(items, "good", ("license",)))
+
+
+def _figures(source: str, name: str) -> str:
+    return f"SELECT '{name}' AS score, policy, hit_at_k, ndcg_at_k, mrr FROM ({_by_policy(source)})"
+
+
+_BOTH = f"{_ranked('scored')}, {_ranked('rawkeyed')}, fa AS ({_figures('scored', 'popularity')}), fb AS ({_figures('rawkeyed', 'raw_count')})"
+
+
+@query(
+    "SELECT a.policy, round(greatest(abs(a.hit_at_k - b.hit_at_k), abs(a.ndcg_at_k - b.ndcg_at_k), abs(a.mrr - b.mrr)), 5) AS max_abs_diff, CASE WHEN b.policy IS NULL THEN 'missing' WHEN greatest(abs(a.hit_at_k - b.hit_at_k), abs(a.ndcg_at_k - b.ndcg_at_k), abs(a.mrr - b.mrr)) <= 0.1 THEN 'pass' ELSE 'fail' END AS status FROM fa a LEFT JOIN (SELECT * FROM fb WHERE policy <> 'archived_float32') b USING (policy)",
+    extra=_BOTH,
+)
+def compare_families(spark, sf):
+    """One family's figures held against another's, of which a policy is missing."""
+    a, b = (_rounded(metrics.evaluate(td.scored(spark, sf, f))) for f in ("popularity", "raw_count"))
+    return _rounded(report.compare(a, b.where("policy <> 'archived_float32'"), ("policy",), tolerance=0.1), 5)
+
+
+@query(
+    "SELECT score, policy, round(e, 6) AS expected, round(v, 6) AS actual, round(abs(e - v), 6) AS abs_diff, CASE WHEN v IS NULL THEN 'missing' WHEN abs(e - v) <= 0.05 THEN 'pass' ELSE 'fail' END AS status FROM (VALUES ('popularity', 'hardened_uint64', 0.33::DOUBLE), ('raw_count', 'stable_positive_first', 0.1), ('raw_count', 'none', 0.5)) t(score, policy, e) LEFT JOIN (SELECT score, policy, hit_at_k AS v FROM fa UNION ALL SELECT score, policy, hit_at_k FROM fb) USING (score, policy)",
+    extra=_BOTH,
+)
+def expected_hits(spark, sf):
+    parts = [_rounded(metrics.evaluate(td.scored(spark, sf, f))).select(F.lit(f).alias("score"), "policy", F.col("hit_at_k").alias("value")) for f in ("popularity", "raw_count")]
+    wanted = spark.createDataFrame([("popularity", "hardened_uint64", 0.33), ("raw_count", "stable_positive_first", 0.1), ("raw_count", "none", 0.5)], "score string, policy string, value double")
+    return _rounded(report.within(wanted, parts[0].unionByName(parts[1]), ("score", "policy"), 0.05))
+
+
+@query(
+    "SELECT score, metric, round(stable, 5) AS stable, round(keyed, 5) AS keyed, round(keyed - stable, 5) AS change, source FROM (SELECT score, 'mrr' AS metric, max(mrr) FILTER (WHERE policy = 'stable_positive_first') AS stable, max(mrr) FILTER (WHERE policy = 'hardened_uint64') AS keyed, 'new' AS source FROM fa GROUP BY score UNION ALL SELECT 'raw_count', 'mrr', 0.5, 0.25, 'old')",
+    extra=_BOTH,
+)
+def cross_domain(spark, sf):
+    """Figures of this run before older ones of the same and of another family."""
+    new = report.change_table(_rounded(metrics.evaluate(td.scored(spark, sf))).withColumn("score", F.lit("popularity")).withColumn("metric", F.lit("mrr")), "stable_positive_first", "hardened_uint64", ("score", "metric"), "mrr")
+    old = spark.createDataFrame([("popularity", "mrr", 0.9, 0.1), ("raw_count", "mrr", 0.5, 0.25)], "score string, metric string, stable double, keyed double")
+    return _rounded(report.cross_domain([("new", new), ("old", old)], ("score", "metric")), 5)

@@ -17,15 +17,21 @@ from pyspark.sql import functions as F
 from listrank.functions.text import json_kind, json_words, normalize, numeric_price, parse_price
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the cluster's shared folder. Where none is configured, a folder of
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, in the cluster's shared folder. Where none is configured, a folder of
     our own will do for a local session alone; on a cluster, whose executors don't share it, that raises."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
