@@ -702,7 +702,7 @@ def oof_logloss_brier_auc(spark, sf):
 
 @query(
     """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dot FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL)
-SELECT query_id, vec_id, round(dot, 4) AS dot, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS rank FROM d""",
+SELECT query_id, vec_id, CASE WHEN round(dot, 4) = 0 THEN 0 ELSE round(dot, 4) END::DOUBLE AS dot, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS rank FROM d""",
     base=False,
 )
 def embedding_dot_rank(spark, sf):

@@ -218,17 +218,30 @@ def test_vector_search_ranks_all_rows_for_all_queries(monkeypatch, spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(1, 101)] + [(120, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in search.rank_by_dot(df.where("vec_id % 20 = 0"), df, 2).collect()}
+    got = {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in search.rank_by_dot(df.where("vec_id % 20 = 0"), df, pass_bytes=100).collect()}
     want = {}
     for q in (20, 40, 60, 80, 100):
         dots = sorted((-sum(x * y for x, y in zip(v, rows[q - 1][1], strict=True)), i) for i, v in rows if v)
         want |= {(q, i): (-d, k) for k, (d, i) in enumerate(dots, 1)}
     assert got == want
+    first = {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in search.rank_by_dot(df.where("vec_id % 20 = 0"), df, top=3).collect()}
+    assert first == {pair: value for pair, value in want.items() if value[1] <= 3}
     assert search.rank_by_dot(df.where("false"), df).count() == 0
+    assert search.rank_by_dot(df, df.where("false")).count() == 0
     monkeypatch.setattr(queries.td, "table", lambda *_: df)
     assert {(r["query_id"], r["vec_id"]): (r["dot"], r["rank"]) for r in queries.embedding_dot_rank(spark, "").collect()} == want
 
 
+def test_vector_search_of_odd_vectors(spark):
+    rows = [(20, [1.0, 2.0]), (1, [1.0, None]), (2, [3.0, 1.0]), (2, [3.0, 1.0]), (None, [1.0, 1.0]), (3, [1.0]), (4, []), (5, None), (40, [2.0])]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<float>, dot string, query_id int")
+    got = [tuple(r) for r in search.rank_by_dot(df.where("vec_id % 20 = 0"), df).orderBy("query_id", "rank").collect()]
+    assert got == [
+        (20, 2, 5.0, 1), (20, 2, 5.0, 2), (20, 20, 5.0, 3), (20, None, 3.0, 4), (20, 1, None, 5), (20, 3, None, 6), (20, 4, None, 7), (20, 40, None, 8),
+        (40, 40, 4.0, 1), (40, 3, 2.0, 2), (40, None, None, 3), (40, 1, None, 4), (40, 2, None, 5), (40, 2, None, 6), (40, 4, None, 7), (40, 20, None, 8),
+    ]
+
+
 def test_types_beyond_the_columns_raise(monkeypatch, spark):
     rows = spark.createDataFrame([(1, 0)], "item_id long, item_idx long")
     parts = spark.range(101).selectExpr("id AS p_partkey", "'b' AS p_brand", "concat('t', id) AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
