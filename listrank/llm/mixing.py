@@ -3,37 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, uniform, word_count
+from .common import cut, spread_join, uniform, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix has this share of all words, and no source more than this many times its own.
 SHARE, CEILING = 1.5, 2.0
 #: Documents that meet in one node of the reduction tree, on average.
 FAN_IN = 256
-#: Sources up to which their table of targets is broadcast; beyond, the join is a shuffle.
+#: Sources up to which their table of targets is broadcast; beyond, rows of a source meet copies of its target.
 BROADCAST_SOURCES = 50_000
 SEED = 20_240_601
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
     """One row per source of sizes(source, size): source_size, n (rows), target. Weights repeat over the sources by code
-    point, null last. What a source can't take beyond its ceiling is shared again by weight; the fixed point is
-    min(ceiling, level * weight), and the level comes from running sums over the sources by ceiling per weight."""
+    point, null last. What a source can't take beyond its ceiling is shared again by weight, until none is above: rounds
+    of one aggregate each, few since the level rises as in Newton's method on a concave sum. If all reach their ceiling,
+    the rest is shared with none.
+
+    Sources are numbered by ranges and the ranges' sizes, so that no task holds all of them; the driver sees a count a
+    range and a sum a weight."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int")))
-    per = per.withColumn("most", F.col("source_size") * F.lit(float(ceiling)))
-    by_need = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, whole = by_need.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full, heavy = F.coalesce(F.sum("most").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (F.lit(float(share)) * F.sum("source_size").over(whole) - full) / (F.sum("weight").over(whole) - heavy)
-    per = per.withColumn("level", level).withColumn("capped", F.col("most") <= F.col("level") * F.col("weight"))
-    final = F.max(F.when(~F.col("capped"), F.col("level"))).over(whole)
-    return per.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(final * F.col("weight"))).select("source", "source_size", "n", "target")
+    by_name = F.col("source").asc_nulls_last()
+    dealt = cut(per.repartitionByRange(by_name).withColumn("part", F.spark_partition_id()))
+    counts = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
+    before = list(accumulate((counts.get(p, 0) for p in range(max(counts, default=0))), initial=0))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1 + F.get(F.lit(before), F.col("part"))
+    per = dealt.withColumn("turn", nth % len(weights))
+    per = per.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.col("turn"))).withColumn("most", F.col("source_size") * F.lit(float(ceiling)))
+    per = cut(per.drop("part"))
+    level, full, known = 0.0, F.lit(False), None
+    while True:
+        sums = per.groupBy("turn", full.alias("full")).agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size")).collect()
+        n_full = sum(r["n"] for r in sums if r["full"])
+        open_weight = sum(weights[r["turn"]] * r["n"] for r in sorted(sums) if not r["full"])
+        if n_full == known or open_weight <= 0:
+            break
+        known = n_full
+        level = (share * sum(r["size"] for r in sums) - ceiling * sum(r["size"] for r in sums if r["full"])) / open_weight
+        full = F.col("most") <= F.lit(level) * F.col("weight")
+    return per.select("source", "source_size", "n", F.when(full, F.col("most")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _pivot(items: Column) -> Column:
@@ -68,10 +82,10 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     sizes = docs.select("source", F.col(id_column).alias("id"), word_count(F.col("text")).alias("size"))
     alike = cut(sizes.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("m")))
     targets = cut(source_targets(alike.select("source", (F.col("size") * F.col("m")).alias("size")), weights, share, ceiling))
-    largest, n_sources = targets.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    largest = targets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(F.lit(0.0))
     named = targets.withColumnRenamed("source", "_source")
-    rows = alike.join(F.broadcast(named) if n_sources <= BROADCAST_SOURCES else named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("mass", F.col("m") * rate)
+    rows = spread_join(alike, named, [("source", "_source")], "inner", BROADCAST_SOURCES).withColumn("mass", F.col("m") * rate)
     rows = rows.withColumn("sure", F.floor(F.col("mass") + 1e-9)).withColumn("p", F.greatest(F.col("mass") - F.col("sure"), F.lit(0.0)))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
     payload = F.struct("source", "id", "size", "m", "sure", "source_size", "target")

@@ -59,8 +59,8 @@ def loose(text):
 
 def test_targets_by_repeated_resharing(spark):
     rng = random.Random(1)
-    for _ in range(4):
-        sizes = {s: rng.choice([0, 1, 10, 1_000, 50_000]) for s in [None, "a", "B", "é", "z", "zz"]}
+    for names in ([None, "a", "B", "é", "z", "zz"],) * 3 + ([None, *(f"host{i}" for i in range(300))],):
+        sizes = {s: rng.choice([0, 1, 10, 1_000, 50_000]) for s in names}
         got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
         order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
         weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
@@ -77,6 +77,19 @@ def test_targets_by_repeated_resharing(spark):
             assert got[s] == pytest.approx(2 * sizes[s] if s in capped else want[s])
 
 
+def test_targets_end_at_the_ceilings(spark):
+    sizes = spark.createDataFrame([("a", 3), ("b", 0), (None, 5)], "source string, size long")
+    for share in (2.0, 9.0):
+        assert {r["source"]: r["target"] for r in mixing.source_targets(sizes, share=share).collect()} == {"a": 6.0, "b": 0.0, None: 10.0}
+    assert mixing.source_targets(sizes.where("false")).count() == 0
+
+
+def test_plans_do_not_depend_on_how_targets_meet_rows(monkeypatch, spark, docs):
+    want = sorted(map(repr, mixing.plan_mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.plan_mix(docs).collect())) == want
+
+
 def test_mix_is_near_its_targets_and_reruns_agree(spark):
     rng = random.Random(2)
     table = [(i, "w " * rng.randint(1, 400), "en", rng.choice("aaaabc"), 0) for i in range(3_000)]
