@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, SPACES, cut
+from .common import SPACE_WORD, SPACES, cut, spread_join
 
 LEAST_WORDS = 50
 #: A histogram of fewer words or characters than its guard is not held against the reference.
@@ -19,6 +19,10 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"),
 }
+#: Common words of a language; one that is not listed gets its own from this many documents on.
+N_COMMON, LEAST_DOCS = 12, 50
+#: Languages up to which their tables are broadcast; beyond, rows of a language meet copies of its row.
+BROADCAST_LANGS = 50_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "beyond")
 #: Positions take this many bits of a sort key; the rest is the window's hash.
 _BITS = 30
@@ -55,7 +59,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts, the character-class histogram and the common-word histogram of each text."""
+    """Adds the base counts, the character-class histogram and the common-word histogram of each text; the lower-cased
+    words as other_words where the language is named but not listed, whose common words are yet to be found."""
     t = F.coalesce(F.col(text), F.lit(""))
     own = docs.columns
     df = docs.withColumn("_t", t)
@@ -80,11 +85,24 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     by_lang = F.lit(None).cast("array<bigint>")
     for lang, common in COMMON_WORDS.items():
         by_lang = F.when(F.col("lang") == lang, F.array(*[F.size(F.filter("_found", _is(x))).cast("long") for x in common])).otherwise(by_lang)
+    df = df.withColumn("other_words", F.when(~F.col("lang").isin(*COMMON_WORDS), F.transform("_words", lambda x: F.lower(x))))
     c = F.col("_c")
     lower = F.col("word_chars") - sum((c[x] for x in rest), F.lit(0))
     counts = {"lower": lower, "space": F.col("_len") - F.col("word_chars")} | {x: c[x] for x in rest}
     dup_lines = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
-    return df.select(*own, "n_words", "word_chars", "n_symbols", dup_lines.alias("n_dup_lines"), "n_repeat_words", F.array(*[counts[x] for x in CLASSES]).alias("chars"), by_lang.alias("common"))
+    return df.select(*own, "n_words", "word_chars", "n_symbols", dup_lines.alias("n_dup_lines"), "n_repeat_words", F.array(*[counts[x] for x in CLASSES]).alias("chars"), by_lang.alias("common"), "other_words")
+
+
+def common_words(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """_named, _top: the N_COMMON words that most documents of a language hold, among those that pass the base rules, for
+    languages that are not listed. Counting documents, not places, keeps a long text from making its words common. Counts
+    are partial before their shuffle, and so is the choice of the first."""
+    good = measured.where("other_words is not null and not base_failed")
+    enough = good.groupBy(F.col("lang").alias("_named")).count().where(F.col("count") >= least_docs).select("_named")
+    counts = good.select("lang", F.explode(F.array_distinct("other_words")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = counts.withColumn("place", place).where(F.col("place") <= N_COMMON).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("first"))
+    return enough.join(first, F.col("_named") == F.col("lang")).select("_named", F.col("first.word").alias("_top"))
 
 
 def _is_one_of(words: tuple[str, ...]):
@@ -95,35 +113,46 @@ def _is(word: str):
     return lambda w: w == word
 
 
+def _is_at(i: int):
+    return lambda w: w == F.get("_top", F.lit(i))
+
+
 def _shares(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.transform(counts, lambda x: F.when(total > 0, x / F.greatest(total, F.lit(1.0))).otherwise(0.0))
 
 
 def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal length that sum to 1."""
+    """Jensen-Shannon distance of two histograms of equal length that sum to 1; null if one is null."""
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / F.greatest(a + b, F.lit(1e-300)))).otherwise(0.0)
 
     both = F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.when(both.isNotNull(), F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
 def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """Adds base_failed, char_distance, word_distance and kept to measured rows.
 
     The reference of a language is the sum of the histograms of its documents that pass the base rules: a table of as
-    many rows as there are languages, summed with map-side partial sums. A distance is null below its length guard, or
-    without common words for the language; then it decides nothing. A null language is one of its own."""
+    many rows as there are languages, summed with map-side partial sums. Languages that are not listed get common words
+    of their own. A distance is null below its length guard, or without common words (a null language, or one of fewer
+    than LEAST_DOCS documents that pass); then it decides nothing. A null language is one of its own."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     other = F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = measured.withColumn("base_failed", failed).withColumn("_w", F.when(F.col("common").isNotNull(), F.concat("common", F.array(other))))
-    width = max(len(x) for x in COMMON_WORDS.values()) + 1
+    rows = measured.withColumn("base_failed", failed)
+    if not rows.where("other_words is not null").isEmpty():
+        rows = spread_join(rows, cut(common_words(rows)), [("lang", "_named")], "left", BROADCAST_LANGS)
+        rows = rows.withColumn("_own", F.filter("other_words", lambda w: F.array_contains("_top", w)))
+        places = F.array(*[F.size(F.filter("_own", _is_at(i))).cast("long") for i in range(N_COMMON)])
+        rows = rows.withColumn("common", F.coalesce("common", F.when(F.col("_top").isNotNull(), places))).drop("_named", "_top", "_own")
+    rows = rows.drop("other_words").withColumn("_w", F.when(F.col("common").isNotNull(), F.concat("common", F.array(other))))
+    width = N_COMMON + 1
     good = rows.where("not base_failed").groupBy(F.col("lang").alias("_lang"))
     sums = good.agg(*[F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))], *[F.sum(F.get("_w", F.lit(i))).alias(f"w{i}") for i in range(width)])
     reference = sums.select("_lang", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("_rc"), F.when(F.col("w0").isNotNull(), F.array(*[f"w{i}" for i in range(width)])).alias("_rw"))
-    rows = rows.join(cut(reference), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    rows = spread_join(rows, cut(reference), [("lang", "_lang")], "left", BROADCAST_LANGS)
     by_chars = F.when(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x) >= LEAST_CHARS, _distance(_shares(F.col("chars")), _shares(F.col("_rc"))))
     by_words = F.when(F.col("n_words") >= LEAST_WORDS_COMMON, _distance(_shares(F.col("_w")), _shares(F.col("_rw"))))
     rows = rows.withColumn("char_distance", by_chars).withColumn("word_distance", by_words)

@@ -103,11 +103,11 @@ FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)"""
 def _op3() -> str:
     classes = ["[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]", r"[#$%&*+/<=>@\[\\\]\^_`{|}~]", r"[^\x09-\x0D\x20-\x7E]"]
     counts = ", ".join(f"len(regexp_extract_all(t, '{c}')) AS c{i + 1}" for i, c in enumerate(classes))
-    width = max(map(len, quality_rules.COMMON_WORDS.values()))
+    width, listed = quality_rules.N_COMMON, ", ".join(f"'{x}'" for x in quality_rules.COMMON_WORDS)
     cases = []
     for i in range(width):
         by = " ".join(f"WHEN '{lang}' THEN len(list_filter(lw, lambda x: x = '{ws[i]}'))" for lang, ws in quality_rules.COMMON_WORDS.items())
-        cases.append(f"CASE lang {by} END AS w{i}")
+        cases.append(f"CASE lang {by} ELSE len(list_filter(lw, lambda x: x = tops[{i + 1}])) END AS w{i}")
     c, w = [f"c{i}" for i in range(7)], [f"w{i}" for i in range(width + 1)]
     sums = ", ".join(f"sum({x})::DOUBLE AS r{x}" for x in c + w)
 
@@ -122,10 +122,14 @@ g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SE
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM g) WHERE k > 1) GROUP BY rid),
 b AS (SELECT a.rid, doc_id, lang, len(ws) AS n_words, len(t) AS chars, list_transform(ws, lambda x: lower(x)) AS lw, {counts}, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACE_WORD}')) AS lines, coalesce(rep.n, 0) AS n_repeat_words FROM a LEFT JOIN rep USING (rid)),
-e AS (SELECT *, chars - c1 - c2 - c3 - c4 - c5 - c6 AS c0, {", ".join(cases)}, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b),
+bf AS (SELECT *, chars - c1 - c2 - c3 - c4 - c5 - c6 AS c0, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b),
+o AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(lw)) AS word FROM bf WHERE NOT base_failed AND lang NOT IN ({listed})) GROUP BY lang, word),
+own AS (SELECT lang, list(word ORDER BY k) AS tops FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM o) WHERE k <= {width}
+  AND lang IN (SELECT lang FROM bf WHERE NOT base_failed GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_DOCS}) GROUP BY lang),
+e AS (SELECT bf.*, tops, {", ".join(cases)} FROM bf LEFT JOIN own USING (lang)),
 f AS (SELECT *, n_words - ({"+".join(w[:-1])}) AS {w[-1]} FROM e),
 r AS (SELECT lang, {sums} FROM f WHERE NOT base_failed GROUP BY lang),
-d AS (SELECT f.*, CASE WHEN chars >= {quality_rules.LEAST_CHARS} THEN {distance(c)} END AS dc, CASE WHEN n_words >= {quality_rules.LEAST_WORDS_COMMON} THEN {distance(w)} END AS dw FROM f LEFT JOIN r ON f.lang IS NOT DISTINCT FROM r.lang)
+d AS (SELECT f.*, CASE WHEN chars >= {quality_rules.LEAST_CHARS} THEN {distance(c)} END AS dc, CASE WHEN n_words >= {quality_rules.LEAST_WORDS_COMMON} AND (f.lang IN ({listed}) OR tops IS NOT NULL) THEN {distance(w)} END AS dw FROM f LEFT JOIN r ON f.lang IS NOT DISTINCT FROM r.lang)
 SELECT doc_id, n_words::BIGINT AS n_words, (chars - c3)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(dc, 0) <= {quality_rules.CHAR_LIMIT} AND coalesce(dw, 0) <= {quality_rules.WORD_LIMIT} AS kept FROM d"""
 

@@ -258,6 +258,32 @@ def test_junk_diverges(spark):
     assert {r["doc_id"] for r in judged.where("kept").collect()} == {i for i, *_ in good}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_common_words_of_languages_that_are_not_listed(spark, few, monkeypatch):
+    """Found by brute force; word lists without them go, as far as the language has documents enough. A word of one
+    long text is not common; a null language and a rare one decide nothing."""
+    if not few:
+        monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 0)
+    rng = random.Random(5)
+    usual = ["Ta", *(f"oft{i}" for i in range(13))]
+
+    def text(common):
+        return " ".join(rng.choice(usual) if rng.random() < common else f"w{rng.randint(0, 9_999):04}" for _ in range(200))
+    good = [(i, text(0.4), "pt") for i in range(60)] + [(100, " ".join(f"long n{i}" for i in range(600)), "pt")]
+    lists = [(200 + i, text(0.0), lang) for i, lang in enumerate(("pt", "pt", "rare", None))]
+    rows = [*good, *lists, (300, None, "pt"), (301, "", "pt"), (302, "pt " * 200, "pt"), good[0]]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, other_words string")
+    passed = [r for r in rows if r[2] == "pt" and len(words(r[1])) >= 50 and r[0] != 302]
+    counts = Counter(w for r in passed for w in {w.lower() for w in words(r[1])})
+    assert Counter(w.lower() for r in passed for w in words(r[1])).most_common(1)[0][0] == "long"
+    measured = quality_rules.cut(quality_rules.measure(df.select("doc_id", "lang", "text"))).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+    assert [(r[0], r[1]) for r in quality_rules.common_words(measured).collect()] == [("pt", sorted(counts, key=lambda w: (-counts[w], w))[:12])]
+    judged = quality_rules.apply_rules(df)
+    assert {r["doc_id"] for r in judged.where("kept").collect()} >= {i for i, *_ in good[:60]} | {202, 203}
+    assert {r["doc_id"] for r in judged.where("not kept and not base_failed and word_distance is not null").collect()} >= {200, 201}
+    assert judged.count() == len(rows) and judged.where("word_distance is not null and (lang is null or lang = 'rare')").count() == 0
+
+
 # 4
 
 
