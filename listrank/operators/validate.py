@@ -10,10 +10,12 @@ from .ranking import bad_score, lists
 
 def violations(candidates: DataFrame) -> DataFrame:
     """One row of counts: lists without exactly one positive, lists whose positive item repeats, unequal widths, scores
-    that are null, NaN or infinite. One shuffle."""
+    that are null, NaN or infinite. One shuffle. Of several positives, that with the largest item is looked for, so that
+    the order in which rows arrive decides nothing."""
+    positives, others = (F.transform(F.filter("cands", f), lambda x: x["item_idx"]) for f in (lambda x: x["is_positive"], lambda x: ~x["is_positive"]))
     rows = lists(candidates).select(
         "n_positive", F.size("cands").cast("long").alias("width"), F.size(F.filter("cands", lambda x: bad_score(x["score"]))).alias("bad"),
-        F.exists("cands", lambda x: ~x["is_positive"] & (x["item_idx"] == F.col("positive.item_idx"))).alias("twice"),
+        F.array_contains(others, F.array_max(positives)).alias("twice"),
     )
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_positive") != 1).alias("not_one_positive"), F.count_if("twice").alias("positive_repeats"), (F.max("width") - F.min("width")).alias("width_spread"), F.min("width").alias("width"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_scores"))
 

@@ -136,6 +136,16 @@ def test_validation(spark):
             validate.require(bad, 1)
 
 
+def test_violations_do_not_depend_on_row_order(spark):
+    """Of two positives, 5 and 9, the larger is the one that may not repeat; 5 repeats in list 0, 9 in list 1."""
+    rows = [(r, 0, s, i, s < 2, 1.0) for r, other in enumerate((5, 9)) for s, i in enumerate((5, 9, other, 7))]
+    for arrived in (rows, rows[::-1]):
+        v = validate.violations(spark.createDataFrame(arrived, SCHEMA).coalesce(1)).first()
+        assert (v["not_one_positive"], v["positive_repeats"]) == (2, 1)
+    first = [x for x in rows if x[0] == 0]
+    assert {validate.violations(spark.createDataFrame(x, SCHEMA).coalesce(1)).first()["positive_repeats"] for x in (first, first[::-1])} == {0}
+
+
 BROKEN = {
     "no positive": [(0, [(1, 1), (2, 2), (3, 0)], 9)], "none at all": [], "positive twice": [(0, [(1, 1), (1, 2), (2, 3)], 0)],
     "nan": [(0, [(1, 1), (2, float("nan")), (3, 0)], 0)], "infinite": [(0, [(1, 1), (2, float("inf")), (3, 0)], 0)], "too narrow": [(0, [(1, 1)], 0)],
