@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listrank.functions.keys import add_key, unsigned_order
@@ -23,63 +23,93 @@ def history(*tables: DataFrame) -> DataFrame:
 ROUNDS = (60, 120, 240)
 
 
+def _by_sorting(df: DataFrame) -> DataFrame:
+    """To be joined by sorting. Spark takes an exploded sequence for one row, and so would send tables of any size to all
+    executors, through the driver."""
+    return df.hint("merge")
+
+
+def _place(item: Column) -> tuple[Column, Column]:
+    """An item's block of 64 and its bit in it."""
+    return F.shiftright(item.cast("long"), 6), item.cast("long").bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def _masks(seen: DataFrame) -> DataFrame:
+    """user_idx, _block, _mask: a user's items, 64 to a row, never more rows than seen has."""
+    block, bit = _place(F.col("item_idx"))
+    return seen.where("item_idx IS NOT NULL").select("user_idx", block.alias("_block"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("user_idx", "_block").agg(F.bit_or("_bit").alias("_mask"))
+
+
 def sample_candidates(targets: DataFrame, seen: DataFrame, n_items: int, negatives: int = 30, seed: int = 42, unique: bool = False, rounds: Sequence[int] = ROUNDS) -> DataFrame:
     """targets(row_id, user_idx, item_idx): row_id, user_idx, slot, item_idx, is_positive; the positive has slot 0.
 
     A row's draws are hashes of (row, draw number) modulo the items: no state, the same on any partitioning. A draw
-    counts unless it is the positive or in the user's history (anti-join); with `unique`, unless it came before. The
-    first `negatives` draws that count are taken. Rows that are still short draw again in the next, larger round.
+    counts unless it is the positive or in the user's history (a join with its bits); with `unique`, unless it came
+    before. The first `negatives` draws that count are taken. Rows that are still short draw again in the next, larger
+    round.
 
     Rows that all rounds leave short are those of users who know nearly all items, or nearly all but `negatives`. They
-    are filled exactly: all items of the catalogue without the history and the positive are listed for these rows alone,
-    which is not much more than their history itself. With `unique`, the eligible items not yet taken follow in hash
-    order; else draws go on among the eligible items, each as likely as any. So a row is filled whenever it can be: one
-    with fewer than `negatives` eligible items (none at all without `unique`) raises, and lists are never padded."""
-    need, first, found = targets, 0, None
+    are filled exactly: the catalogue's blocks of 64 items are listed for these rows alone, and of these the items outside
+    the history and not the positive. With `unique`, the eligible items not yet taken follow in hash order; else draws go
+    on among the eligible items, each as likely as any. So a row is filled whenever it can be: one with fewer than
+    `negatives` eligible items (none at all without `unique`) raises, and lists are never padded."""
+    need, first, found, known = targets, 0, None, _masks(seen)
     place = F.row_number().over(Window.partitionBy("row_id").orderBy("draw"))
     for size in rounds:
         draws = need.select("row_id", "user_idx", F.col("item_idx").alias("_positive"), F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))).alias("draw"))
         draws = add_key(draws, "_key", F.col("row_id"), F.col("draw"), seed)
         # beside a row number, filters and joins stay above the key: pushed below, they would repeat its whole expression
         draws = draws.withColumn("item_idx", F.shiftrightunsigned("_key", 1) % F.lit(n_items)).withColumn("_at", F.monotonically_increasing_id())
-        draws = draws.where("item_idx <> _positive AND _at >= 0").select("row_id", "user_idx", "item_idx", F.col("draw").cast("long").alias("draw"))
-        fresh = draws.join(seen.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti").select("row_id", "user_idx", "item_idx", "draw")
+        block, bit = _place(F.col("item_idx"))
+        draws = draws.where("item_idx <> _positive AND _at >= 0").select("row_id", "user_idx", "item_idx", F.col("draw").cast("long").alias("draw"), block.alias("_block"))
+        fresh = draws.join(_by_sorting(known), ["user_idx", "_block"], "left").where(F.col("_mask").isNull() | (F.getbit("_mask", bit) == 0)).select("row_id", "user_idx", "item_idx", "draw")
         found = fresh if found is None else found.unionByName(fresh)
         if unique:
             found = found.groupBy("row_id", "user_idx", "item_idx").agg(F.min("draw").alias("draw"))
         found = checkpointed(found.withColumn("slot", place).where(F.col("slot") <= negatives).drop("slot"))
         full = found.groupBy("row_id").count().where(F.col("count") >= negatives).select("row_id")
-        need, first = targets.join(full, "row_id", "left_anti"), first + size
+        need, first = checkpointed(targets.join(_by_sorting(full), "row_id", "left_anti")), first + size
         if need.isEmpty():
             break
+        if size == rounds[0]:  # later rounds read the history of the rows still short alone
+            known = checkpointed(known.join(_by_sorting(need.select("user_idx").distinct()), "user_idx", "left_semi"))
     else:
-        found = found.unionByName(_exact_draws(checkpointed(need), found, seen, n_items, negatives, seed, unique, first))
+        found = found.unionByName(_exact_draws(need, found, known, n_items, negatives, seed, unique, first))
     negative = found.select("row_id", "user_idx", place.alias("slot"), "item_idx", F.lit(False).alias("is_positive"))
     return targets.select("row_id", "user_idx", F.lit(0).alias("slot"), "item_idx", F.lit(True).alias("is_positive")).unionByName(negative)
 
 
-def _exact_draws(need: DataFrame, found: DataFrame, seen: DataFrame, n_items: int, negatives: int, seed: int, unique: bool, first: int) -> DataFrame:
+def _eligible(need: DataFrame, known: DataFrame, n_items: int) -> DataFrame:
+    """row_id, user_idx, item_idx: the items of the catalogue without the user's history and the positive."""
+    last, _ = _place(F.lit(n_items - 1))
+    blocks = need.select("row_id", "user_idx", F.col("item_idx").alias("_positive"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block"))
+    blocks = blocks.join(_by_sorting(known), ["user_idx", "_block"], "left").where("_mask IS NULL OR _mask <> -1")
+    items = blocks.select("row_id", "user_idx", "_positive", "_block", "_mask", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_bit")).where("_mask IS NULL OR getbit(_mask, _bit) = 0")
+    return items.withColumn("item_idx", F.shiftleft("_block", 6) + F.col("_bit")).where((F.col("item_idx") < n_items) & (F.col("item_idx") != F.col("_positive"))).select("row_id", "user_idx", "item_idx")
+
+
+def _exact_draws(need: DataFrame, found: DataFrame, known: DataFrame, n_items: int, negatives: int, seed: int, unique: bool, first: int) -> DataFrame:
     """row_id, user_idx, item_idx, draw: what the rows of need lack, chosen among their eligible items, numbered on from
     `first`."""
-    every = need.select("row_id", "user_idx", F.col("item_idx").alias("_positive"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))).alias("item_idx")).where("item_idx <> _positive")
-    eligible = every.join(seen.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti").select("row_id", "user_idx", "item_idx")
+    eligible = _eligible(need, known, n_items)
     held = found.groupBy("row_id").agg(F.count(F.lit(1)).alias("held"))
-    short = need.select("row_id", "user_idx").join(held, "row_id", "left").select("row_id", "user_idx", (F.lit(negatives) - F.coalesce("held", F.lit(0))).alias("lacks"))
+    short = need.select("row_id", "user_idx").join(_by_sorting(held), "row_id", "left").select("row_id", "user_idx", (F.lit(negatives) - F.coalesce("held", F.lit(0))).alias("lacks"))
+    lacks = _by_sorting(short.select("row_id", "lacks"))
     if unique:
-        taken = found.join(need.select("row_id"), "row_id", "left_semi").select("row_id", "item_idx")
-        free = add_key(eligible.join(taken, ["row_id", "item_idx"], "left_anti"), "_key", F.col("row_id"), F.col("item_idx"), ~seed)
+        taken = found.join(_by_sorting(need.select("row_id")), "row_id", "left_semi").select("row_id", "item_idx")
+        free = add_key(eligible.join(_by_sorting(taken), ["row_id", "item_idx"], "left_anti"), "_key", F.col("row_id"), F.col("item_idx"), ~seed)
         nth = F.row_number().over(Window.partitionBy("row_id").orderBy(unsigned_order(F.col("_key")), "item_idx"))
-        chosen = free.withColumn("nth", nth).join(short.select("row_id", "lacks"), "row_id").where(F.col("nth") <= F.col("lacks"))
+        chosen = free.withColumn("nth", nth).join(lacks, "row_id").where(F.col("nth") <= F.col("lacks"))
         chosen = checkpointed(chosen.select("row_id", "user_idx", "item_idx", (F.lit(first - 1) + F.col("nth")).alias("draw")))
     else:
         numbered = eligible.withColumn("nth", F.row_number().over(Window.partitionBy("row_id").orderBy("item_idx")).cast("long") - 1)
         sizes = eligible.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_eligible"))
-        more = short.join(sizes, "row_id").select("row_id", "n_eligible", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first - 1) + F.col("lacks"))).alias("draw"))
+        more = short.join(_by_sorting(sizes), "row_id").select("row_id", "n_eligible", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first - 1) + F.col("lacks"))).alias("draw"))
         more = add_key(more, "_key", F.col("row_id"), F.col("draw"), ~seed).withColumn("nth", F.shiftrightunsigned("_key", 1) % F.col("n_eligible")).drop("_key", "n_eligible")
         more = checkpointed(more)  # else the join's filter on nth would repeat the whole key
-        chosen = checkpointed(more.join(numbered, ["row_id", "nth"]).select("row_id", "user_idx", "item_idx", "draw"))
+        chosen = checkpointed(more.join(_by_sorting(numbered), ["row_id", "nth"]).select("row_id", "user_idx", "item_idx", "draw"))
     got = chosen.groupBy("row_id").agg(F.count(F.lit(1)).alias("got"))
-    bad = short.join(got, "row_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("lacks"))
+    bad = short.join(_by_sorting(got), "row_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("lacks"))
     if n_bad := bad.count():
         raise ValueError(f"{n_bad} rows have too few eligible items for {negatives} negatives")
     return chosen

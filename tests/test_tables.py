@@ -116,6 +116,18 @@ def test_sampling_fills_whatever_can_be_filled(spark, unique):
             sampling.sample_candidates(targets, none, 2_000, 30, 42)
 
 
+@pytest.mark.parametrize("unique", [False])
+def test_sampling_broadcasts_no_history(spark, monkeypatch, unique):
+    """Spark takes an exploded history for a small one, whatever its size."""
+    plans, stored = [], sampling.checkpointed
+    monkeypatch.setattr(sampling, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or stored(df))
+    targets = spark.range(3).select(F.col("id").alias("row_id"), F.col("id").alias("user_idx"), F.col("id").alias("item_idx"))
+    seen = targets.select("user_idx", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("item_idx")).where("(item_idx + user_idx) % 10 <> 0")
+    rows = sampling.sample_candidates(targets, seen, 400, 30, 42, unique).where("slot > 0").collect()
+    assert len(rows) == 90 and all((r["item_idx"] + r["user_idx"]) % 10 == 0 and r["item_idx"] != r["row_id"] for r in rows)
+    assert plans and not [p for p in plans if "Broadcast" in p]
+
+
 def test_scores(spark):
     train = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 1, 0.25), (1, 2, 1.0)], "user_idx long, item_idx long, y float")
     items = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 0, 1), (3, 0, 0)], "item_idx long, a int, b int")
