@@ -116,7 +116,7 @@ def test_sampling_fills_whatever_can_be_filled(spark, unique):
             sampling.sample_candidates(targets, none, 2_000, 30, 42)
 
 
-@pytest.mark.parametrize("unique", [False])
+@pytest.mark.parametrize("unique", [False, True])
 def test_sampling_broadcasts_no_history(spark, monkeypatch, unique):
     """Spark takes an exploded history for a small one, whatever its size."""
     plans, stored = [], sampling.checkpointed
