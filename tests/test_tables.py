@@ -128,6 +128,24 @@ def test_sampling_broadcasts_no_history(spark, monkeypatch, unique):
     assert plans and not [p for p in plans if "Broadcast" in p]
 
 
+@pytest.mark.parametrize("unique", [False, True])
+def test_sampling_stores_no_draws(spark, monkeypatch, unique):
+    """Rows that draws alone fill are stored as they are and once a round, in catalogues of any size, with the same lists."""
+    n, sizes, stored = 50, [], sampling.checkpointed
+    monkeypatch.setattr(sampling, "checkpointed", lambda df: sizes.append(df.count()) or stored(df))
+    targets = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 20).alias("user_idx"), F.col("id").alias("item_idx"))
+    seen = spark.range(20).select(F.col("id").alias("user_idx"), F.explode(F.sequence(F.lit(0), F.lit(899))).alias("item_idx")).where("(item_idx + user_idx) % 3 <> 0")
+    lists = [sorted(tuple(r) for r in sampling.sample_candidates(targets, seen, 900, 30, 42, unique).collect())]
+    assert len(lists[0]) == 31 * n and sum(sizes) <= 4 * n
+    monkeypatch.setattr(sampling, "PACKED", 0)
+    lists.append(sorted(tuple(r) for r in sampling.sample_candidates(targets, seen, 900, 30, 42, unique).collect()))
+    narrow = targets.withColumn("item_idx", F.col("row_id") % 90)
+    for bound in (0, 90):
+        monkeypatch.setattr(sampling, "PACKED", bound)
+        lists.append(sorted(tuple(r) for r in sampling.sample_candidates(narrow, seen.where("item_idx < 90 OR item_idx > 800"), 90, 29, 42, unique).collect()))
+    assert lists[0] == lists[1] and lists[2] == lists[3] and [len(x) for x in lists[2:]] == [30 * n] * 2
+
+
 def test_scores(spark):
     train = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 1, 0.25), (1, 2, 1.0)], "user_idx long, item_idx long, y float")
     items = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 0, 1), (3, 0, 0)], "item_idx long, a int, b int")
